@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .codec import op3_bpe_round_trip
+from .packing import op6_best_fit_packing
 from .token_counts import op1_token_counts
+from .token_store import op2_token_store
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_token_store": op2_token_store,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op6_best_fit_packing": op6_best_fit_packing,
 }
 
 #: DuckDB SQL where it can express an operator.
