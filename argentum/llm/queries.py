@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from .codec import op3_bpe_round_trip
 from .packing import op6_best_fit_packing
+from .quality_rules import op5_quality_rules
 from .token_counts import op1_token_counts
 from .token_store import op2_token_store
+from .top_k import TOP_K_SQL, op10_exact_top_k
+from .warc import WARC_SQL, op9_warc_round_trip
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_token_store": op2_token_store,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op5_quality_rules": op5_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_warc_round_trip": op9_warc_round_trip,
+    "op10_exact_top_k": op10_exact_top_k,
 }
 
 #: DuckDB SQL where it can express an operator.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc_round_trip": WARC_SQL,
+    "op10_exact_top_k": TOP_K_SQL,
+}
