@@ -173,7 +173,7 @@ def word_and_tail(piece: str) -> tuple[str, str] | None:
     Only letters below U+0250 count here: all libraries agree on their class.
     """
     word = piece.rstrip(_TAIL)
-    if word.isalpha() and max(word) < "\u0250":
+    if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
         return word, piece[len(word) :]
     return None
 

@@ -7,6 +7,8 @@ could change the ids, the library encodes the whole text instead.
 
 from __future__ import annotations
 
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -19,25 +21,43 @@ class LibraryIds:
     """``encode(text) -> bytes``: ids of ``dtype`` without begin, end or added special tokens."""
 
     def __init__(self, path: str, dtype: str):
-        self.lib, self.dtype = library(path), dtype
+        self.lib, self.dtype, self.code = library(path), dtype, {"<u2": "H", "<u4": "I"}[dtype]
         spec = bpe.load(path)
         self.word_level, self.special = bool(spec.suffix), tuple(spec.special)
-        self.words = bpe.Memo(self.whole, 200_000)
-        self.pieces = bpe.Memo(self._word_piece if self.word_level else self._byte_piece, 250_000)
+        self.model, self.alphabet = self.lib.model, bpe.byte_alphabet()
+        self.words = bpe.Memo(self._pretoken, 400_000)
+        self.pieces = bpe.Memo(self._word_piece if self.word_level else self._byte_piece, 500_000)
+
+    def pack(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self.pack(self.lib.encode(text, add_special_tokens=False).ids)
+
+    def _pretoken(self, pretoken: str) -> bytes:
+        """One pre-token, by the library's model alone: its bytes are spelled in the vocabulary's alphabet."""
+        spelled = "".join([self.alphabet[b] for b in pretoken.encode()])
+        return self.pack([t.id for t in self.model.tokenize(spelled)])
 
     def _word_piece(self, piece: str) -> bytes:
-        """A space ends every pre-token of a word-end vocabulary, so any piece stands alone."""
+        """White space ends every pre-token of a word-end vocabulary, so any piece stands alone."""
+        parts = bpe.word_and_tail(piece)
+        if parts and (low := parts[0].lower()).isalpha():
+            return self.words[low] + (self.words[parts[1]] if parts[1] else b"")
+        if "\n" in piece:
+            return b"".join([self.pieces[x] for x in piece.split("\n")])
         return self.whole(piece) if piece else b""
 
-    def _byte_piece(self, piece: str) -> bytes | None:
+    def _byte_piece(self, piece: str, before: str = " ") -> bytes | None:
+        """A piece after ``before``; a single line feed between two non-spaces is a pre-token of its own."""
+        if parts := bpe.word_and_tail(piece):
+            return self.words[before + parts[0]] + (self.words[parts[1]] if parts[1] else b"")
         if not bpe.separable(piece, self.special):
             return None
-        if parts := bpe.word_and_tail(piece):
-            return self.words[" " + parts[0]] + (self.words[parts[1]] if parts[1] else b"")
-        return self.whole(" " + piece)
+        if "\n" in piece and "\n\n" not in piece:
+            first, *rest = piece.split("\n")
+            return b"".join([self._byte_piece(first, before), *(x for p in rest for x in (self.words["\n"], self._byte_piece(p, "")))])
+        return self.whole(before + piece)
 
     def encode(self, text: str) -> bytes:
         parts = text.split(" ")
