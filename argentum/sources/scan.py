@@ -25,6 +25,7 @@ def walk(spark: SparkSession, root: str, selection: PathSelection = PathSelectio
     """(path, size_bytes, modified, content) of media files below a folder.
 
     Content stays unread as long as no plan selects it; paths are filtered first.
+    Spark's reader leaves out files of no bytes.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rows = rows.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), "content")
