@@ -13,8 +13,9 @@ connected component of links.  The steps:
    n - 1 pairs.
 4. Components of the verified links.  Buckets whose members still lie in several
    components are searched whole: members outside the bucket's largest component
-   are compared, in blocks, with all its members from other components, first by
-   signature (which misses a link with a chance below 1e-6), then exactly.
+   meet, in blocks, all its members from other components; pairs that are likely
+   by signature (which misses a link with a chance below 1e-6) are verified
+   exactly where they meet, so only links leave the task, never candidates.
 5. Components again, over all links.
 
 No pair that shares a bucket is left out, whatever the bucket's size.
@@ -35,11 +36,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from argentum.operators.components import components
 from argentum.storage import materialize, table
 
 from . import bpe
 from .bag_minhash import mix, overlap, signatures
-from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 36, 7
@@ -141,43 +142,95 @@ def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFram
     centres = sizes.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     wanted = materialize(centres.select(F.col("u").alias("id"), "u", "part", F.lit(None).cast("bigint").alias("v")).union(parted.select(F.col("v").alias("id"), "u", "part", "v")), "wanted")
     ids = materialize(wanted.select("id").distinct(), "ids")
-    texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    if ids.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(ids), "id", "left_semi")
-    # a repeated id's rows all hold the words of its text, or else its smallest text stands for it
-    texts = materialize(texts.groupBy("id").agg(F.min("text").alias("text")), "texts")
+    texts = _texts(docs, ids, key, text)
     rows = wanted.join(texts, "id").select("u", "part", "v", "text")
     return rows.repartition("u", "part").sortWithinPartitions("u", "part", F.asc_nulls_first("v")).mapInArrow(_verify, "u bigint, v bigint")
 
 
+class _Block:
+    """Members of a bucket that search it for links out of their components."""
+
+    def __init__(self, at):
+        self.at = at
+        self.ids = self.comps = np.zeros(0, np.int64)
+        self.sigs = np.zeros((0, REGISTERS), np.uint8)
+        self.bags: list = []
+        self.joined: dict[int, int] = {}
+
+    def add(self, ids, comps, sigs, bags) -> None:
+        self.ids, self.comps, self.sigs = (np.concatenate(x) for x in ((self.ids, ids), (self.comps, comps), (self.sigs, sigs)))
+        self.bags += [_unpack(b) for b in bags]
+
+    def component(self, c: int) -> int:
+        while c in self.joined:
+            c = self.joined[c]
+        return c
+
+    def meet(self, ids, comps, searching, sigs, bags):
+        """Links to members of other components; of two searching members the one with the smaller id looks."""
+        for x in range(0, len(ids), 64):
+            part = slice(x, x + 64)
+            alike = (self.sigs[:, None, :] == sigs[None, part]).sum(2, dtype=np.uint16) / REGISTERS
+            alike = (alike - 1 / 256) * (256 / 255)
+            looks = ~searching[None, part] | (self.ids[:, None] < ids[None, part])
+            i, j = np.nonzero((alike >= LIKELY) & looks & (self.comps[:, None] != comps[None, part]))
+            held: dict = {}
+            for k in np.argsort(-alike[i, j], kind="stable").tolist():
+                mine, other = int(i[k]), x + int(j[k])
+                a, b = self.component(int(self.comps[mine])), self.component(int(comps[other]))
+                if a == b:
+                    continue
+                if other not in held:
+                    held[other] = _unpack(bags[other])
+                if overlap(self.bags[mine], held[other]) >= SIMILARITY:
+                    self.joined[max(a, b)] = min(a, b)
+                    yield int(self.ids[mine]), int(ids[other])
+
+
+def _pack(b: tuple[np.ndarray, np.ndarray]) -> bytes:
+    return b[0].astype("<u8").tobytes() + b[1].astype("<u4").tobytes()
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 12
+    return np.frombuffer(data, "<u8", n), np.frombuffer(data, "<u4", n, 8 * n).astype(np.int64)
+
+
+def _bags(batches):
+    for b in batches:
+        yield pa.record_batch([b.column(0), pa.array([_pack(bag(_words(t))) for t in b.column(1).to_pylist()], pa.binary())], names=["rep", "bag"])
+
+
 def _search(batches):
-    """Of rows sorted by (bucket, block, role): likely links between a block's members and the bucket's."""
-    at = None
-    ids = comps = sigs = None
+    """Of rows sorted by (bucket, block, role): verified links between members of different components."""
+    block = None
     for b in batches:
-        key, block, role, rep, comp = (b.column(i).to_numpy() for i in range(5))
-        sig = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(len(key), REGISTERS)
-        edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (role[1:] != role[:-1])]))
-        u, v = [], []
+        key, part, role, rep, comp = (b.column(i).to_numpy() for i in range(5))
+        searching = b.column(5).to_numpy(zero_copy_only=False)
+        sig = np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8).reshape(len(key), REGISTERS)
+        bags = b.column(7).to_pylist()
+        edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (role[1:] != role[:-1])]))
+        links: list = []
         for s, e in zip(edge, [*edge[1:], len(key)]):
-            if role[s] == 0:
-                if at == (key[s], block[s]):
-                    ids, comps, sigs = (np.concatenate(x) for x in ((ids, rep[s:e]), (comps, comp[s:e]), (sigs, sig[s:e])))
-                else:
-                    at, ids, comps, sigs = (key[s], block[s]), rep[s:e], comp[s:e], sig[s:e]
-            elif at == (key[s], block[s]):
-                for x in range(s, e, 64):
-                    y = min(e, x + 64)
-                    alike = (sigs[:, None, :] == sig[None, x:y]).mean(2)
-                    i, j = np.nonzero(((alike - 1 / 256) * (256 / 255) >= LIKELY) & (comps[:, None] != comp[None, x:y]))
-                    u.append(np.minimum(ids[i], rep[x:y][j]))
-                    v.append(np.maximum(ids[i], rep[x:y][j]))
-        none = [np.zeros(0, np.int64)]
-        yield pa.record_batch([pa.array(np.concatenate(u or none)), pa.array(np.concatenate(v or none))], names=["u", "v"])
-
-
-def _unresolved(buckets: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
-    """Likely links (u, v) between texts of one bucket that are still in different components."""
+            if block is None or block.at != (key[s], part[s]):
+                block = _Block((key[s], part[s]))
+            if role[s]:
+                links += block.meet(rep[s:e], comp[s:e], searching[s:e], sig[s:e], bags[s:e])
+            else:
+                block.add(rep[s:e], comp[s:e], sig[s:e], bags[s:e])
+        yield pa.record_batch([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], names=["u", "v"])
+
+
+def _texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text) of the given ids, one row each: a repeated id's smallest text stands for it."""
+    texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return materialize(texts.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+
+
+def _between_components(docs: DataFrame, buckets: DataFrame, reps: DataFrame, comps: DataFrame, key: str, text: str) -> DataFrame:
+    """Verified links (u, v) between texts of one bucket that are still in different components."""
     members = materialize(buckets.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("comp")), "members")
     open_ = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("key")
     members = materialize(members.join(materialize(open_, "open"), "key", "left_semi"), "open-members")
@@ -185,10 +238,13 @@ def _unresolved(buckets: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFr
     counts = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
     main = counts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("others"))
     main = materialize(main.withColumn("blocks", F.ceil(F.col("others") / BLOCK).cast("int")), "main")
-    sigs = reps.select("rep", "sig")
-    rows = members.join(main, "key").join(sigs, "rep")
-    firsts = rows.where("comp <> main").select("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "rep", "comp", "sig")
-    seconds = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "rep", "comp", "sig")
+    ids = materialize(members.select(F.col("rep").alias("id")).distinct(), "open-ids")
+    bags = _texts(docs, ids, key, text).mapInArrow(_bags, "rep bigint, bag binary")
+    signed = materialize(reps.select("rep", "sig").join(bags, "rep"), "open-texts")
+    rows = members.join(main, "key").join(signed, "rep").withColumn("searching", F.col("comp") != F.col("main"))
+    shown = ["rep", "comp", "searching", "sig", "bag"]
+    firsts = rows.where("searching").select("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), *shown)
+    seconds = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), *shown)
     found = firsts.union(seconds).repartition("key", "block").sortWithinPartitions("key", "block", "role").mapInArrow(_search, "u bigint, v bigint")
     return found.distinct()
 
@@ -207,10 +263,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     star = materialize(buckets.where("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct(), "star")
     links = materialize(verified(docs, star, key, text), "links")
     comps = components(links)
-    likely = _unresolved(buckets.select("key", "rep"), named, comps)
-    more = materialize(likely.join(star, ["u", "v"], "left_anti"), "likely")
+    more = materialize(_between_components(docs, buckets.select("key", "rep"), named, comps, key, text), "more-links")
     if more.limit(1).count():
-        comps = components(links.union(materialize(verified(docs, more, key, text), "more-links")))
+        comps = components(links.union(more))
     classes = materialize(reps.select("digest", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id")), "classes")
     own = signed.select("doc_id", "digest").join(classes, "digest", "left")
     return own.select(F.col("doc_id").alias(key), F.coalesce("class_id", "doc_id").alias("class_id"))
@@ -219,12 +274,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of one document of each class, its smallest id, with all their columns.
 
-    Rows without an id stay unless their words are those of a document with one.
-    Of rows that repeat an id one stays.
+    Rows without an id can't be named and all stay.  Of rows that repeat an id one stays.
     """
     found = materialize(near_duplicates(docs, key, text).select(F.col(key).alias("id"), "class_id"), "near-duplicates")
-    lost = found.where("id <> class_id or (id is null and class_id is not null)").select("id").distinct()
-    kept = docs.join(F.broadcast(lost) if lost.count() <= BROADCAST_IDS else lost, F.col(key).cast("bigint") == F.col("id"), "left_anti")
+    lost = found.where("id <> class_id").select(F.col("id").alias(key)).distinct()
+    kept = docs.join(F.broadcast(lost) if lost.count() <= BROADCAST_IDS else lost, key, "left_anti").select(*docs.columns)
     again = found.where("id is not null").groupBy("id").count().where("count > 1").select("id")
     if not again.limit(1).count():
         return kept
