@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .codec import op3_bpe_round_trip
 from .near_dup import op4_near_duplicates
+from .oracle import NEAR_DUPLICATES_SQL, quality_rules_sql
 from .packing import op6_best_fit_packing
 from .quality_crf import op8_quality_crf
 from .quality_rules import op5_quality_rules
@@ -28,6 +29,8 @@ QUERIES = {
 
 #: DuckDB SQL where it can express an operator.
 ORACLE_SQL: dict[str, str] = {
+    "op4_near_duplicates": NEAR_DUPLICATES_SQL,
+    "op5_quality_rules": quality_rules_sql(),
     "op9_warc_round_trip": WARC_SQL,
     "op10_exact_top_k": TOP_K_SQL,
 }
