@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .common import WORD_BPE, text_or_empty, vocabulary
+from .common import WORD_BPE, cache_of, claim, text_or_empty, vocabulary
 
 
 class WordCodec:
@@ -69,6 +69,7 @@ class WordCodec:
         self.pretokens.turn()
 
 
+@cache_of("codec")
 @lru_cache(2)
 def word_codec(path: str) -> WordCodec:
     return WordCodec(path)
@@ -78,6 +79,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     """(key, ids array<int>) of every row: the operator's own output."""
 
     def run(batches):
+        claim("codec")
         c = word_codec(path)
         for b in batches:
             ids = []
@@ -94,6 +96,7 @@ def decode(rows: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") ->
     """(key, text) of id arrays; null ids decode to an empty text."""
 
     def run(batches):
+        claim("codec")
         c = word_codec(path)
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([c.decode(x or ()) for x in b.column(1).to_pylist()], pa.string())], names=[key, "text"])
@@ -106,6 +109,7 @@ def round_trip_digests(docs: DataFrame, path: str, key: str = "doc_id", text: st
     """(key, n_tokens, ids_sha256, decoded_sha256): encode, decode and digest in one pass."""
 
     def run(batches):
+        claim("codec")
         c = word_codec(path)
         for b in batches:
             n, x, y = [], [], []

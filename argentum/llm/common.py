@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from functools import lru_cache
 
 import public_tokenizers
@@ -31,5 +32,28 @@ def library(path: str):
     return t
 
 
+#: Caches of this Python worker, by the operator that fills them.
+_CACHES: dict = {}
+
+
+def cache_of(operator: str):
+    """Registers a cached function as belonging to an operator."""
+
+    def add(f):
+        _CACHES.setdefault(operator, []).append(f)
+        return f
+
+    return add
+
+
+def claim(operator: str) -> None:
+    """Empty the caches of all other operators: a reused worker keeps one operator's at a time."""
+    others = [f for name, held in _CACHES.items() if name != operator for f in held if f.cache_info().currsize]
+    for f in others:
+        f.cache_clear()
+    if others:
+        gc.collect()
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).alias(name)

@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 from . import bpe
-from .common import library
+from .common import cache_of, library
 
 
 class LibraryIds:
@@ -25,8 +25,8 @@ class LibraryIds:
         spec = bpe.load(path)
         self.word_level, self.special = bool(spec.suffix), tuple(spec.special)
         self.model, self.alphabet = self.lib.model, bpe.byte_alphabet()
-        self.words = bpe.Memo(self._pretoken, 400_000)
-        self.pieces = bpe.Memo(self._word_piece if self.word_level else self._byte_piece, 500_000)
+        self.words = bpe.Memo(self._pretoken, 200_000 if self.word_level else 400_000)
+        self.pieces = bpe.Memo(self._word_piece if self.word_level else self._byte_piece, 150_000 if self.word_level else 500_000)
 
     def pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
@@ -75,6 +75,7 @@ class LibraryIds:
         self.words.turn()
 
 
-@lru_cache(4)
+@cache_of("library_ids")
+@lru_cache(2)
 def library_ids(path: str, dtype: str) -> LibraryIds:
     return LibraryIds(path, dtype)

@@ -41,6 +41,7 @@ from argentum.storage import materialize, table
 
 from . import bpe
 from .bag_minhash import mix, overlap, signatures
+from .common import cache_of, claim
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 36, 7
@@ -54,9 +55,10 @@ BROADCAST_IDS = 1_000_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
+@cache_of("near_dup")
 @lru_cache(1)
 def _word_hashes() -> bpe.Memo:
-    return bpe.Memo(xxhash.xxh64_intdigest, 300_000)
+    return bpe.Memo(xxhash.xxh64_intdigest, 150_000)
 
 
 def bag(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +84,7 @@ _SIGNED = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("bands",
 
 def _sign(batches):
     """Digest, band keys and the registers' low bytes of every document; nulls for one without words."""
+    claim("near_dup")
     for b in batches:
         ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
         held: list = []

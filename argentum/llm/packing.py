@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from argentum.storage import materialize, table
 
-from .common import WORD_BPE, text_or_empty, vocabulary
+from .common import WORD_BPE, claim, text_or_empty, vocabulary
 from .library_ids import library_ids
 
 #: Documents of one length are ranked in so many groups, so that a common length is not one task's work.
@@ -37,6 +37,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, key: str
     """(key, piece, start, length, ids_crc32): every document's ids with the end id, cut at ``capacity``."""
 
     def run(batches):
+        claim("library_ids")
         lib = library_ids(path, "<u4")
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * capacity

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .common import BYTE_BPE, text_or_empty, vocabulary
+from .common import BYTE_BPE, cache_of, claim, text_or_empty, vocabulary
 
 
 class Counter:
@@ -66,6 +66,7 @@ class Counter:
         self.pretokens.turn()
 
 
+@cache_of("token_counts")
 @lru_cache(2)
 def counter(path: str) -> Counter:
     return Counter(path)
@@ -75,6 +76,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_
     """(key, n_bytes, n_tokens, over_limit) of every row."""
 
     def run(batches):
+        claim("token_counts")
         c = counter(path)
         for b in batches:
             texts = b.column(1).to_pylist()

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from argentum.storage import scratch_dir, table, write_table
 
 from . import repair
-from .common import BYTE_BPE, text_or_empty, vocabulary
+from .common import BYTE_BPE, claim, text_or_empty, vocabulary
 from .library_ids import library_ids
 
 #: At most so many shards are joined by broadcast (24 bytes each); more of them by a shuffle.
@@ -34,6 +34,7 @@ def _shards(batches, path: str, vocab: int, shard_ids: int):
     """Containers of the documents of one partition, in order."""
     dtype = "<u2" if vocab + 1 < 60_000 else "<u4"
     end = np.array([vocab], dtype).tobytes()  # the separator, one above the vocabulary
+    claim("library_ids")
     lib = library_ids(path, dtype)
     part, seq = TaskContext.get().partitionId(), 0
     held: list[bytes] = []
