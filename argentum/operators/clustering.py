@@ -18,10 +18,10 @@ from argentum.storage import materialize
 from .components import components
 from .vectors import cosine_edges, normalized_mean
 
-#: A component's distances are held as one matrix; larger ones are refused rather than cut.
+#: A component of places holds its distances as one matrix; larger ones are refused rather than cut.
 MOST_MEMBERS = 20_000
-#: Most clusters that the centroid merge, which is one global sequence of steps, takes.
-MOST_CLUSTERS = 20_000
+#: Numbers in one block of a product of vectors.
+BLOCK_NUMBERS = 1 << 22
 # Similarity at which centroids merge, linkage that vetoes a merge, and the quality gate.
 MERGE_SIMILARITY, VETO_LINKAGE, LEAST_SIDE, GENERIC_SIMILARITY = 0.35, 0.79, 80.0, 0.40
 
@@ -60,16 +60,77 @@ def _too_large(n: int) -> None:
         raise ValueError(f"a component of {n} members exceeds {MOST_MEMBERS}: lower the distance limit")
 
 
+def agglomerate_vectors(vectors: np.ndarray, limit: float) -> np.ndarray:
+    """What ``agglomerate`` gives for the distances 1 - x.y, from the clusters' means alone.
+
+    The average of 1 - x.y over two clusters is 1 less the product of their means,
+    so no matrix of distances is held.  A chain of nearest neighbours ends at two
+    clusters that are each other's nearest; merging them at once gives the same
+    clusters as merging the closest pair of all, as no merge brings clusters nearer
+    to a third one.  For the same reason a cluster without a neighbour within the
+    limit is done.
+    """
+    n = len(vectors)
+    mean, size, name = np.array(vectors, np.float64), np.ones(n), np.arange(n)
+    parent, gone = np.arange(n), np.zeros(n)  # gone: infinite where a row is no cluster any more
+    near, gap = np.full(n, -1), np.full(n, np.inf)
+    step = max(1, BLOCK_NUMBERS // max(1, n))
+    for at in range(0, n, step):
+        d = 1.0 - mean[at : at + step] @ mean.T
+        line = np.arange(len(d))
+        d[line, at + line] = np.inf
+        near[at : at + step] = d.argmin(1)
+        gap[at : at + step] = d[line, near[at : at + step]]
+    first, left, chain = 0, n, []
+    while left > 1:
+        if 10 * left < 7 * len(mean):
+            keep = np.flatnonzero(gone == 0)
+            to = np.full(len(mean) + 1, -1)
+            to[keep] = np.arange(len(keep))
+            mean, size, name, gap, gone = mean[keep], size[keep], name[keep], gap[keep], gone[keep]
+            near, chain, first = to[near[keep]], to[chain].tolist() if chain else [], 0
+        if not chain:
+            while gone[first]:
+                first += 1
+            chain.append(first)
+        i = chain[-1]
+        if near[i] < 0:
+            d = 1.0 - mean @ mean[i] + gone
+            d[i] = np.inf
+            near[i] = d.argmin()
+            gap[i] = d[near[i]]
+        if not gap[i] <= limit:
+            gone[i], left = np.inf, left - 1
+            near[near == i] = -1
+            chain.pop()
+            continue
+        j = int(near[i])
+        if j not in chain:
+            chain.append(j)
+            continue
+        # a neighbour further down the chain is as near as the last but one
+        j = chain[-2]
+        del chain[-2:]
+        i, j = (i, j) if name[i] < name[j] else (j, i)
+        mean[i] = (size[i] * mean[i] + size[j] * mean[j]) / (size[i] + size[j])
+        size[i] += size[j]
+        parent[name[j]] = name[i]
+        gone[j], left = np.inf, left - 1
+        near[(near == i) | (near == j)] = -1
+        near[i] = -1
+    for k in range(n):  # a parent is smaller than its children
+        parent[k] = parent[parent[k]]
+    return parent
+
+
 def average_linkage_cosine(rows: DataFrame, eps: float, key: str = "id", vector: str = "embedding") -> DataFrame:
     """(id, cluster) for unit vectors; a cluster is named by its smallest id."""
     points = materialize(rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")), "points")
     labels = components(cosine_edges(points, eps, "id", "v").select("u", "v"))
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        _too_large(len(pdf))
         pdf = pdf.sort_values("id")
-        m = np.stack(pdf["v"].to_numpy())
-        return pd.DataFrame({"id": pdf["id"], "cluster": pdf["id"].to_numpy()[agglomerate(1.0 - m @ m.T, eps)]})
+        return pd.DataFrame({"id": pdf["id"], "cluster": pdf["id"].to_numpy()[agglomerate_vectors(np.stack(pdf["v"].to_numpy()), eps)]})
 
     joined = points.join(labels, "id").groupBy("label").applyInPandas(cluster, "id bigint, cluster bigint")
     alone = points.join(labels, "id", "left_anti").select("id", F.col("id").alias("cluster"))
@@ -80,34 +141,57 @@ def merge_centroids(sums: np.ndarray, sizes: np.ndarray, similarity: float = MER
     """Cluster numbers after merging the most similar centroids again and again.
 
     Sums and sizes say all that centroids and linkages need.  A vetoed pair stays
-    out until one of its sides changes.
+    out until one of its sides changes.  Every cluster holds its best partner among
+    the later ones only, and looks again where that one has changed.
     """
     sums, sizes = sums.astype(np.float64).copy(), sizes.astype(np.float64).copy()
-    owner, alive = np.arange(len(sums)), np.ones(len(sums), bool)
+    n = len(sums)
+    owner, alive = np.arange(n), np.ones(n, bool)
 
     def unit(x):
         length = np.linalg.norm(x, axis=-1, keepdims=True)
         return np.where(length > 1e-12, x / np.maximum(length, 1e-300), x)
 
+    def allowed(rows):
+        """Similarities of rows to all clusters; those vetoed or gone are out."""
+        sim = centre[rows] @ centre.T
+        sim[1.0 - sums[rows] @ sums.T / (sizes[rows, None] * sizes) > veto] = -np.inf
+        sim[:, ~alive] = -np.inf
+        return sim
+
     centre = unit(sums)
-    sim = centre @ centre.T
-    sim[np.tril_indices(len(sim))] = -np.inf
-    while len(sim):
-        i, j = divmod(int(sim.argmax()), len(sim))
-        if sim[i, j] < similarity:
+    best, partner, stale = np.full(n, -np.inf), np.zeros(n, int), np.zeros(n, bool)
+
+    def look(rows):
+        sim = allowed(rows)
+        sim[np.arange(n) <= rows[:, None]] = -np.inf
+        partner[rows] = sim.argmax(1)
+        best[rows] = sim[np.arange(len(rows)), partner[rows]]
+        stale[rows] = False
+
+    step = max(1, BLOCK_NUMBERS // max(1, n))
+    for at in range(0, n, step):
+        look(np.arange(at, min(n, at + step)))
+    while n:
+        i = int(best.argmax())
+        if best[i] < similarity:
             break
-        if 1.0 - sums[i] @ sums[j] / (sizes[i] * sizes[j]) > veto:
-            sim[i, j] = -np.inf
+        if stale[i]:  # its value is an upper bound
+            look(np.array([i]))
             continue
+        j = int(partner[i])
         sums[i] += sums[j]
         sizes[i] += sizes[j]
         owner[owner == j] = i
         alive[j] = False
-        sim[j, :] = sim[:, j] = -np.inf
+        best[j] = -np.inf
         centre[i] = unit(sums[i])
-        now = centre @ centre[i]
-        others = np.flatnonzero(alive & (np.arange(len(sums)) != i))
-        sim[np.minimum(others, i), np.maximum(others, i)] = now[others]
+        stale |= alive & ((partner == i) | (partner == j))
+        now = allowed(np.array([i]))[0]
+        now[i:] = -np.inf
+        closer = np.flatnonzero((now > best) | ((now == best) & (i < partner) & (now > -np.inf)))
+        best[closer], partner[closer], stale[closer] = now[closer], i, False
+        look(np.array([i]))
     return owner
 
 
@@ -118,13 +202,11 @@ def merge_by_centroid(clusters: DataFrame, points: DataFrame, min_samples: int,
     members = clusters.join(large, "cluster").join(points.select("id", "v"), "id")
     sums = members.select("cluster", "n", F.posexplode("v").alias("pos", "x")).groupBy("cluster", "n", "pos").agg(F.sum("x").alias("s"))
     table = sums.groupBy("cluster", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "s"))), lambda p: p["s"]).alias("v"))
-    got = sorted(table.limit(MOST_CLUSTERS + 1).collect(), key=lambda r: r.cluster)
-    if len(got) > MOST_CLUSTERS:
-        raise ValueError(f"more than {MOST_CLUSTERS} clusters to merge: raise the least cluster size")
-    names = [r.cluster for r in got]
+    got = sorted(((r.cluster, r.n, np.array(r.v)) for r in table.toLocalIterator()), key=lambda r: r[0])
     if not got:
         return spark.createDataFrame([], "cluster bigint, merged bigint")
-    owner = merge_centroids(np.array([r.v for r in got]), np.array([r.n for r in got]), similarity, veto)
+    names = [c for c, _, _ in got]
+    owner = merge_centroids(np.stack([v for _, _, v in got]), np.array([n for _, n, _ in got]), similarity, veto)
     return spark.createDataFrame([(c, names[o]) for c, o in zip(names, owner.tolist())], "cluster bigint, merged bigint")
 
 

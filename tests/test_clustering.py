@@ -4,7 +4,9 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from argentum.operators import clustering, places
 from argentum.operators.components import components
@@ -43,6 +45,48 @@ def test_linkage_by_component_equals_the_whole(spark):
     assert got == {i + 5: c + 5 for i, c in slow_linkage(1 - v @ v.T, 0.3).items()}
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_linkage_of_vectors_needs_no_matrix(seed):
+    v = unit(60, 3 + seed, seed)
+    v = np.concatenate([v, v[:7]])
+    for limit in (0.1, 0.4, 0.8):
+        assert dict(enumerate(clustering.agglomerate_vectors(v, limit).tolist())) == slow_linkage(1 - v @ v.T, limit)
+    assert clustering.agglomerate_vectors(v[:0], 0.4).tolist() == []
+
+
+def slow_merge(sums, sizes, similarity, veto):
+    groups = [([i], s, n) for i, (s, n) in enumerate(zip(sums, sizes))]
+    while True:
+        pairs = [(-a[1] @ b[1] / np.linalg.norm(a[1]) / np.linalg.norm(b[1]), x, y) for x, a in enumerate(groups) for y, b in enumerate(groups) if x < y and 1 - a[1] @ b[1] / (a[2] * b[2]) <= veto]
+        if not pairs or -min(pairs)[0] < similarity:
+            return {i: min(g) for g, _, _ in groups for i in g}
+        _, x, y = min(pairs)
+        b = groups.pop(y)
+        groups[x] = (groups[x][0] + b[0], groups[x][1] + b[1], groups[x][2] + b[2])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_centroid_merge_equals_rescanning(seed):
+    sizes = np.random.default_rng(seed).integers(1, 6, 40)
+    sums = unit(40, 4, seed) * sizes[:, None] * 0.8
+    for similarity, veto in ((0.35, 0.79), (0.35, 0.95), (0.6, 0.5)):
+        assert dict(enumerate(clustering.merge_centroids(sums, sizes, similarity, veto).tolist())) == slow_merge(sums, sizes, similarity, veto)
+
+
+def test_more_than_20000_members_and_clusters(spark):
+    n = 20_100  # a chain round half a circle, so that only neighbours are near
+    angle = (np.arange(n) + np.random.default_rng(1).uniform(0, 0.5, n)) * (math.pi / n)
+    rows = pd.DataFrame({"id": np.arange(n), "v": np.stack([np.cos(angle), np.sin(angle)], 1).tolist()})
+    points = spark.createDataFrame(rows, "id bigint, v array<double>").repartition(8)
+    eps = 1 - math.cos(1.6 * math.pi / n)
+    got = clustering.average_linkage_cosine(points, eps, "id", "v").toPandas().sort_values("id")
+    assert got.id.tolist() == list(range(n))
+    own = got.cluster.to_numpy()
+    assert (np.diff(own) >= 0).all() and n / 3 < len(set(own)) < n  # runs of neighbours, named by the first
+    merged = clustering.merge_by_centroid(points.select("id", F.col("id").alias("cluster")), points, 1, 2.0)
+    assert merged.where("cluster = merged").count() == n
+
+
 def test_chains_are_refused_and_far_linkage_is_vetoed():
     angles = np.radians([0, 50, 100, 150])
     v = np.stack([np.cos(angles), np.sin(angles)], 1)
