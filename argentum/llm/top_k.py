@@ -7,8 +7,9 @@ best score can't lie below them.  The bin of the k-th best becomes the next
 pass's range, until it is one integer wide: that is the k-th score itself.  The
 last pass keeps what scores above it, and of the ties the smallest ids.
 
-Vectors that are null, or hold a null or non-finite component, or one whose
-scaled magnitude exceeds 2**52, take no part; neither do rows without an id.  A
+Vectors that are null, or hold a null or non-finite component, or one that is
+no bigint once scaled, take no part; neither do rows without an id.  Scores that
+may exceed a long are Python integers; a result that does is an error.  A
 candidate needs as many components as the query.  Rows with the query's own id
 are not its candidates.  A repeated row is a candidate as often as it occurs; a
 repeated query id is answered once, for its smallest vector.  Other columns are
@@ -31,9 +32,8 @@ _RESULT = "query_id bigint, score bigint, vec_id bigint"
 
 def usable(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFrame:
     """(id, v array<double>) of the rows that take part."""
-    most = float(2**52) / scale
     v = F.col(vector).cast("array<double>")
-    ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= F.lit(most)))
+    ok = F.forall(v, lambda x: x.isNotNull() & (x * F.lit(scale) >= F.lit(-(2.0**63))) & (x * F.lit(scale) < F.lit(2.0**63)))
     return vectors.select(F.col(key).cast("bigint").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & ok)
 
 
@@ -50,12 +50,19 @@ def _matrices(batch, scale: float):
 
 
 def _scores(c: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact integer inner products, candidates by queries."""
+    """Exact integer inner products, candidates by queries; Python integers where a long may not do."""
     if not c.shape[1]:
         return np.zeros((len(c), len(q)), np.int64)
-    if c.shape[1] * np.abs(c).max(initial=0) * np.abs(q).max(initial=0) < 2.0**53:
+    most = c.shape[1] * np.abs(c).max(initial=0) * np.abs(q).max(initial=0)
+    if most < 2.0**53:
         return (c @ q.T).astype(np.int64)
-    return (c.astype(np.int64).astype(object) @ q.T.astype(np.int64).astype(object)).astype(np.int64)
+    exact = c.astype(np.int64).astype(object) @ q.T.astype(np.int64).astype(object)
+    return exact.astype(np.int64) if most < 2.0**62 else exact
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    """Whole numbers held as doubles: longs, or Python integers if twice the largest is no long."""
+    return x.astype(np.int64) if x.max(initial=0) < 2.0**61 else np.array([int(v) for v in x], object)
 
 
 def _chunks(queries: DataFrame, size: int, scale: float):
@@ -89,10 +96,10 @@ def _histograms(batches, chunk, low, span, width, bins, k, scale, step=2048):
             base = np.arange(len(q_ids)) * bins
             for at in range(0, len(ids), step):
                 s = _scores(m[at : at + step], q)
-                s -= low[d]
+                s = s - low[d]
                 at_bin = s // width[d]
                 inside = (s >= 0) & (s < span[d]) & (ids[at : at + step, None] != q_ids)
-                flat = (at_bin + base)[inside]
+                flat = (at_bin[inside] + np.broadcast_to(base, inside.shape)[inside]).astype(np.int64)
                 counts[d] += np.bincount(flat, minlength=len(q_ids) * bins).reshape(-1, bins)
     for d, c in counts.items():
         above = np.cumsum(c[:, ::-1], 1)[:, ::-1] - c
@@ -114,7 +121,7 @@ def _select(batches, chunk, least, k, scale, step=2048):
                 other = own[:, None] != q_ids
                 r, c = np.nonzero((s > least[d]) & other)
                 if len(r):
-                    yield pa.record_batch([pa.array(q_ids[c]), pa.array(s[r, c]), pa.array(own[r])], names=["query_id", "score", "vec_id"])
+                    yield pa.record_batch([pa.array(q_ids[c]), pa.array(s[r, c], pa.int64()), pa.array(own[r])], names=["query_id", "score", "vec_id"])
                 r, c = np.nonzero((s == least[d]) & other)
                 order = np.lexsort((own[r], c))
                 r, c = r[order], c[order]
@@ -146,7 +153,7 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float =
     spark.createDataFrame([], _RESULT).write.parquet(to)
     for chunk in _chunks(queries, chunk_size, scale):
         # no score exceeds the product of the norms; one more for rounding
-        bound = {d: np.ceil(np.sqrt((q * q).sum(1) * longest[d]) * 1.0001).astype(np.int64) + 1 for d, (_, q) in chunk.items()}
+        bound = {d: _whole(np.ceil(np.sqrt((q * q).sum(1)) * np.sqrt(longest[d]) * 1.0001)) + 1 for d, (_, q) in chunk.items()}
         low = {d: -b for d, b in bound.items()}
         span = {d: 2 * b + 1 for d, b in bound.items()}
         width = {d: np.maximum(1, -(-x // bins)) for d, x in span.items()}

@@ -50,6 +50,23 @@ def test_large_components_are_exact(spark):
     assert run(spark, rows) == slowly(rows, 5)
 
 
+def test_huge_finite_components_take_part(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.uniform(-1, 1), rng.uniform(-1, 1), 0.0]) for i in range(1, 40)]
+    rows += [(0, [1.0, 0.5, 2.0**-8]), (41, [2.0**46, 0.0, 0.0]), (42, [-(2.0**54), 1.0, 0.0]), (43, [0.0, 0.0, 2.0**53])]
+    exact = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    scores = sorted((-sum(a * b for a, b in zip(exact[0], w)), i) for i, w in exact.items() if i)
+    assert run(spark, rows) == [(0, n + 1, i, -s) for n, (s, i) in enumerate(scores[:5])]
+    assert scores[0][1] == 41 and scores[1][1] == 43
+
+
+def test_scores_beyond_a_long(spark):
+    rows = [(0, [2.0**30, 1.0])] + [(i, [-(2.0**40) * i, float(i)]) for i in range(1, 20)] + [(i, [0.0, float(i)]) for i in range(20, 30)]
+    assert [r[2:] for r in run(spark, rows)] == [(i, 65536 * i) for i in (29, 28, 27, 26, 25)]
+    with pytest.raises(Exception):
+        run(spark, [(0, [2.0**30]), (1, [2.0**40])])
+
+
 def test_fewer_candidates_than_k_and_none(spark):
     rows = [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (50, [1.0, 2.0, 3.0])]
     assert run(spark, rows) == [(0, 1, 1, 128 * 256 + 128 * 512)]
