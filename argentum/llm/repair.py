@@ -19,19 +19,19 @@ MAGIC = b"RPAIR001"
 _HEAD = struct.Struct("<8sIIIQQQI")
 
 
-def compress(symbols: np.ndarray, first: int, separator: int, rounds: int = 12, batch: int = 4096, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def compress(symbols: np.ndarray, first: int, separator: int, batch: int = 4096, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rule k gives the two symbols of nonterminal ``first + k``.
 
     symbols: uint16 or uint32; ids below ``first`` are terminals.  A round takes up
-    to ``batch`` pairs that occur ``least`` times or more; it is the last one if it
-    removes under a hundredth of the symbols or the symbol type has no values left.
+    to ``batch`` pairs that occur ``least`` times or more; rounds go on until no pair
+    does or the symbol type has no values left.
     """
     wide, bits = (np.uint32, 16) if symbols.dtype == np.uint16 else (np.uint64, 32)
     room = int(np.iinfo(symbols.dtype).max) - first + 1
     rules: list[np.ndarray] = []
     made = 0
     slots = 18
-    for _ in range(rounds):
+    while True:
         n = len(symbols)
         if n < 2 or made >= room:
             break
@@ -73,8 +73,6 @@ def compress(symbols: np.ndarray, first: int, separator: int, rounds: int = 12,
         keep = np.ones(n, bool)
         keep[hits + 1] = False
         symbols = symbols[keep]
-        if len(hits) * 100 < n:
-            break
     return symbols, np.concatenate(rules) if rules else np.zeros((0, 2), symbols.dtype)
 
 

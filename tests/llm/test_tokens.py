@@ -171,3 +171,16 @@ def test_best_two_fit_uses_every_document_once():
                 used[s] += times
         assert used.tolist() == counts.tolist()
         assert n <= 1.1 * (counts * np.arange(65)).sum() / 64 + 8
+
+
+def test_replacement_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(2)
+    noise = rng.integers(0, 1000, 200_000)
+    passage = rng.integers(0, 1000, 64)  # its last rounds remove under a hundredth of the symbols
+    ids = np.concatenate([np.concatenate([passage, [1000], part]) for part in np.array_split(noise, 12)]).astype(np.uint16)
+    symbols, rules = repair.compress(ids, 1001, 1000)
+    pairs = np.stack([symbols[:-1], symbols[1:]], 1)
+    pairs = pairs[(pairs != 1000).all(1)]
+    distinct, counts = np.unique(pairs, axis=0, return_counts=True)
+    assert len(rules) and counts[distinct[:, 0] != distinct[:, 1]].max() < 8
+    assert repair.expansion_lengths(rules, 1001).max() >= 32
