@@ -53,7 +53,15 @@ def write_table(df: DataFrame, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it back with the same schema: lineage ends here."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
+    path = write_table(df, name)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` made and that no later step reads."""
+    drop_path(df.sparkSession, df.written_to)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
