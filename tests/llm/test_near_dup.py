@@ -109,3 +109,60 @@ def test_signatures_do_not_depend_on_company():
     bags = [(np.sort(rng.integers(0, 2**63, k).astype(np.uint64)), rng.integers(1, 5, k)) for k in (1, 2, 30, 500)]
     together = bm.signatures(bags, 252)
     assert all((bm.signatures([b], 252)[0] == t).all() for b, t in zip(bags, together))
+
+
+def kept_by_brute_force(rows):
+    """Rows with an id that are the first (by id, then by the text's hash as given) of their text's class."""
+    bags = {}
+    for i, t, h in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        bags[i, h] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    names = sorted(bags)
+    parent = {n: n for n in names}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, a in enumerate(names):
+        for b in names[:n]:
+            s = sum((bags[a] & bags[b]).values())
+            if s >= 0.8 * (bags[a].total() + bags[b].total() - s):
+                u, v = sorted((find(a), find(b)))
+                parent[v] = u
+    return {n: find(n) for n in names}
+
+
+def test_one_id_with_several_texts(spark, make):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    rows = []
+    for f in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for _ in range(4):  # ids from a small range clash between the families
+            near = list(base)
+            near[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+            rows.append((rng.randrange(10), " ".join(near)))
+    a, b = ([f"{c}{k}" for k in range(300)] for c in "ab")
+    rows += [(101, " ".join(a)), (101, " ".join(b)), (102, " ".join([*a[:-1], "z"])), (103, " ".join([*b[:-1], "z"])), (101, " ".join(a))]
+    docs = make(rows)
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    root = kept_by_brute_force([(i, t, hashes[t]) for i, t in rows])
+    got = rows_of(nd.near_duplicates(docs), "doc_id", "class_id")
+    assert got == sorted((i, root[i, hashes[t]][0]) for i, t in rows)
+    assert (103, 101) in got and (102, 101) in got
+    kept = nd.drop_near_duplicates(docs)
+    assert rows_of(kept, "doc_id", "text") == sorted({(i, t) for i, t in rows if root[i, hashes[t]] == (i, hashes[t])})
+    assert rows_of(kept.where("doc_id > 100"), "doc_id") == [(101,), (101,)]
+
+
+def test_repeated_rows_with_other_columns_leave_one(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(5, text, {"a": str(k)}, k) for k in range(50)] + [(6, None, {}, 0), (6, None, {}, 0)], "doc_id bigint, text string, extra map<string,string>, n int").repartition(4)
+    kept = nd.drop_near_duplicates(docs)
+    assert kept.schema == docs.schema
+    one = rows_of(kept, "doc_id", "n")
+    assert [r[0] for r in one] == [5, 6]
+    assert rows_of(nd.drop_near_duplicates(docs.repartition(7)), "doc_id", "n") == one
