@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from argentum.functions import columns as C
 
+from .blocks import blocked, opened, spread
+
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_f16(blob: pd.Series) -> pd.Series:
@@ -31,54 +33,40 @@ def normalized_mean(rows: DataFrame, vector: str = "embedding", by: list[str] |
     return total.select(*keys, F.when(C.norm(F.col("v")) > 1e-12, C.l2_normalize(F.col("v"))).otherwise(F.array().cast("array<double>")).alias("mean"))
 
 
-def cosine_edges(rows: DataFrame, eps: float, key: str = "id", vector: str = "embedding", chunk_size: int = 2048) -> DataFrame:
+#: Vectors in a block of the search for near pairs.
+BLOCK = 2048
+
+
+def cosine_edges(rows: DataFrame, eps: float, key: str = "id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(u, v, distance) of unit vectors within cosine distance eps, u < v.
 
-    Vectors stream through the driver in chunks of a fixed size; every task
-    multiplies its own rows with the chunk, so neither side is ever replicated by
-    a shuffle nor held whole.
+    Every two blocks of vectors meet once, in one job over all pairs of blocks; a
+    pair's distances stay in its task, near pairs alone leave it.
     """
-    from argentum.storage import scratch_dir
-    import uuid
-
-    spark = rows.sparkSession
-    kind = "u bigint, v bigint, distance double"
-    to = f"{scratch_dir(spark)}/cosine-edges-{uuid.uuid4().hex[:8]}"
-    spark.createDataFrame([], kind).write.parquet(to)
     rows = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-
-    def near(batches, sent):
-        ids, m = sent.value
+    blocks = blocked(rows.where(F.forall("v", lambda x: x.isNotNull())), block, "vector-blocks")
+    left, right = (spread(blocks) if side == "a" else blocks for side in "ab")
+    left, right = left.select(*(F.col(c).alias(f"a_{c}") for c in blocks.columns)), right.select(*(F.col(c).alias(f"b_{c}") for c in blocks.columns))
+    # no equality of keys: that would send all blocks of a length to one task
+    pairs = left.join(right, (F.col("a_block") <= F.col("b_block")) & (F.abs(F.col("a_dim") - F.col("b_dim")) < 1))
+
+    def near(batches):
+        last, held = None, None
         for b in batches:
-            own = b.column(0).to_numpy()
-            v = b.column(1)
-            sizes = np.diff(v.offsets.to_numpy())
-            keep = np.flatnonzero(sizes == m.shape[1])
-            if not len(keep):
-                continue
-            x = v.values.to_numpy(zero_copy_only=False)[v.offsets.to_numpy()[keep][:, None] + np.arange(m.shape[1])]
-            for at in range(0, len(keep), 1024):
-                d = 1.0 - x[at : at + 1024] @ m.T
-                i, j = np.nonzero((d <= eps) & (own[keep[at : at + 1024]][:, None] < ids))
-                yield pa.record_batch([pa.array(own[keep[at + i]]), pa.array(ids[j]), pa.array(d[i, j])], names=["u", "v", "distance"])
-
-    def flush(ids, held):
-        for dim in {len(v) for v in held}:
-            same = [k for k, v in enumerate(held) if len(v) == dim]
-            sent = spark.sparkContext.broadcast((np.array([ids[k] for k in same], np.int64), np.array([held[k] for k in same], np.float64).reshape(len(same), dim)))
-            rows.mapInArrow(lambda it, sent=sent: near(it, sent), kind).write.mode("append").parquet(to)
-            sent.unpersist()
-
-    ids, held = [], []
-    for r in rows.toLocalIterator(prefetchPartitions=True):
-        ids.append(r.id)
-        held.append(r.v)
-        if len(ids) == chunk_size:
-            flush(ids, held)
-            ids, held = [], []
-    if ids:
-        flush(ids, held)
-    return spark.read.schema(kind).parquet(to)
+            for x, y, one, other in zip(*(c.to_pylist() for c in b.columns)):
+                if last != x:
+                    last, held = x, opened(one)
+                ids, m = held
+                others, w = held if x == y else opened(other)
+                for at in range(0, len(ids), 1024):
+                    d = 1.0 - m[at : at + 1024] @ w.T
+                    i, j = np.nonzero(d <= eps)
+                    u, v, d = ids[at + i], others[j], d[i, j]
+                    keep = u < v if x == y else u != v
+                    u, v, d = u[keep], v[keep], d[keep]
+                    yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(d)], names=["u", "v", "distance"])
+
+    return pairs.select("a_block", "b_block", "a_data", "b_data").mapInArrow(near, "u bigint, v bigint, distance double")
 
 
 # The categories and what an image of each is said to be.
