@@ -8,17 +8,22 @@ averaged by line length, and a logistic map, fitted on the training documents,
 turns that into the probability that the document's label is 1.
 
 Only text enters a score.  Labels come only from documents whose checksum puts
-them outside the held-out fifth.  Training takes at most ``sample`` documents, the
-first by hash of their id, and cuts chains at ``SEGMENT`` lines there; scoring
-covers whole texts.  A document without words scores the training documents' share
-of label 1.  Null text counts as empty; a null id is not held out; repeated rows
-give repeated results; labels that are null, or repeated with another value, are
-left out; other columns are ignored.  Without any label every score is 0.5.
+them outside the held-out fifth.  Training takes whole documents, the first by hash of
+their id: at most ``sample`` of them, none of more than ``longest`` lines (or ten
+times as many line feeds), and of
+those the ones that fit into ``lines`` lines in all; so what reaches the driver is
+bounded by ``lines``.  Chains are never cut.  Scoring covers whole texts.  A
+document without words scores the training documents' share of label 1.  Null text
+counts as empty; a null id is not held out; repeated rows give repeated results;
+labels that are null, or repeated with another value, are left out; of labelled
+rows that share an id one teaches; other columns are ignored.  Without any label
+every score is 0.5.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from operator import eq
 
 import numpy as np
@@ -26,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from argentum.storage import table
+from argentum.storage import materialize, table
 
 from .common import text_or_empty
 
-#: Most documents that training takes; lines after which it cuts a chain; rounds and rate of the fit.
-SAMPLE, SEGMENT, ROUNDS, RATE, RIDGE = 4000, 50, 60, 0.3, 1e-3
+#: Bounds of the training sample: documents, lines in all, lines of a document.
+SAMPLE, LINES, LONGEST = 4000, 200_000, 1000
+#: Rounds, rate and ridge of the fit.
+ROUNDS, RATE, RIDGE = 60, 0.3, 1e-3
 THRESHOLD = 0.3
 
 _MARKS = b"#*$%&|<>"
@@ -45,7 +52,7 @@ N_FEATURES = 1 + len(OWN) + 2 * (len(SHARED) + 1)
 
 def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(features, lengths in characters) of the lines of a text that have a word."""
-    rows, sizes = [], []
+    rows, sizes = array("d"), array("d")
     seen: set[str] = set()
     before = None
     for line in text.split("\n"):
@@ -56,7 +63,7 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
         data = line.encode("utf-8", "surrogatepass")
         size = len(data)
         lengths = list(map(len, words))
-        rows.append((
+        rows.extend((
             min(1.0, (size - len(data.translate(None, _MARKS))) / n),
             min(1.0, data.count(b"!") / n),
             (size - len(data.translate(None, _UPPER))) / size,
@@ -73,7 +80,7 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
         sizes.append(len(line))
         seen.add(line)
         before = words[0]
-    return np.array(rows, np.float64).reshape(len(rows), len(OWN)), np.array(sizes, np.float64)
+    return np.array(rows).reshape(len(sizes), len(OWN)), np.array(sizes)
 
 
 def with_neighbours(own: np.ndarray) -> np.ndarray:
@@ -90,6 +97,19 @@ def with_neighbours(own: np.ndarray) -> np.ndarray:
     return out
 
 
+def potentials(own: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``with_neighbours(own) @ w`` without the wide matrix."""
+    at, m = 1 + len(OWN), len(SHARED)
+    u = own @ w[1:at] + w[0]
+    if len(u):
+        shared = own[:, SHARED]
+        u[1:] += shared[:-1] @ w[at : at + m]
+        u[:-1] += shared[1:] @ w[at + m : at + 2 * m]
+        u[0] += w[at + 2 * m]
+        u[-1] += w[at + 2 * m + 1]
+    return u
+
+
 def _pass(x: float, t: list[list[float]]) -> float:
     """The message over one transition, from good's lead over bad on one side to that on the other."""
     if x > 0:
@@ -99,10 +119,10 @@ def _pass(x: float, t: list[list[float]]) -> float:
     return math.log((math.exp(t[1][1]) * e + math.exp(t[0][1])) / (math.exp(t[1][0]) * e + math.exp(t[0][0])))
 
 
-def marginals(u: list[float], t: list[list[float]]) -> list[float]:
+def marginals(u, t: list[list[float]]) -> array:
     """Each line's lead of good over bad, given the whole chain: forward and backward messages."""
     n = len(u)
-    forward, x = [0.0] * n, 0.0
+    forward, x = array("d", bytes(8 * n)), 0.0
     for i in range(n):
         x = u[i] + (_pass(x, t) if i else 0.0)
         forward[i] = x
@@ -114,71 +134,68 @@ def marginals(u: list[float], t: list[list[float]]) -> list[float]:
     return forward
 
 
-def _expectations(u: np.ndarray, last: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(marginals of good by chain and line, expected transitions); chains sorted by falling length ``last`` + 1."""
-    chains, steps = u.shape
-    node = np.stack([np.zeros_like(u), u], 2)
-    alpha, beta = np.zeros((chains, steps, 2)), np.zeros((chains, steps, 2))
-    alpha[:, 0] = node[:, 0]
-    counts = np.zeros((2, 2))
-    alive = [int((last >= i).sum()) for i in range(steps)]
-
-    def total(x, axis):
-        m = x.max(axis, keepdims=True)
-        return (m + np.log(np.exp(x - m).sum(axis, keepdims=True))).squeeze(axis)
-
-    for i in range(1, steps):
-        k = alive[i]
-        alpha[:k, i] = node[:k, i] + total(alpha[:k, i - 1, :, None] + t, 1)
-    for i in range(steps - 2, -1, -1):
-        k = alive[i + 1]
-        beta[:k, i] = total(t + (node[:k, i + 1] + beta[:k, i + 1])[:, None, :], 2)
-    z = total(alpha[:, 0] + beta[:, 0], 1)
-    for i in range(1, steps):
-        k = alive[i]
-        pair = alpha[:k, i - 1, :, None] + t + (node[:k, i] + beta[:k, i])[:, None, :]
-        counts += np.exp(pair - z[:k, None, None]).sum(0)
-    return np.exp(alpha[:, :, 1] + beta[:, :, 1] - z[:, None]), counts
+class Chains:
+    """Chains of any length side by side: step by step, the longer chains first, without padding."""
+
+    def __init__(self, sizes: list[int]):
+        self.order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+        sizes = np.array([sizes[i] for i in self.order])
+        self.alive = [int((sizes > i).sum()) for i in range(sizes[0])]
+        self.start = np.concatenate([[0], np.cumsum(self.alive)]).tolist()
+        rank = np.concatenate([np.arange(k) for k in self.alive])
+        self.chain = np.array(self.order)[rank]
+        self.rank = rank
+        step = np.repeat(np.arange(len(self.alive)), self.alive)
+        self.row = np.concatenate([[0], np.cumsum([x for _, x in sorted(zip(self.order, sizes.tolist()))])])[self.chain] + step
+        self.later = np.flatnonzero(step > 0)
+        self.before = np.array(self.start)[step[self.later] - 1] + rank[self.later]
+
+    def expectations(self, u: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(marginals of good, expected transitions); ``u`` in this order."""
+        n, s = len(u), self.start
+        node = np.stack([np.zeros(n), u], 1)
+        alpha, beta = node.copy(), np.zeros((n, 2))
+
+        def total(x, axis):
+            m = x.max(axis, keepdims=True)
+            return (m + np.log(np.exp(x - m).sum(axis, keepdims=True))).squeeze(axis)
+
+        for i in range(1, len(self.alive)):
+            k = self.alive[i]
+            alpha[s[i] : s[i + 1]] += total(alpha[s[i - 1] : s[i - 1] + k, :, None] + t, 1)
+        for i in range(len(self.alive) - 2, -1, -1):
+            k = self.alive[i + 1]
+            beta[s[i] : s[i] + k] = total(t + (node[s[i + 1] : s[i + 2]] + beta[s[i + 1] : s[i + 2]])[:, None, :], 2)
+        z = total(alpha[: s[1]] + beta[: s[1]], 1)
+        pair = alpha[self.before][:, :, None] + t + (node + beta)[self.later][:, None, :] - z[self.rank[self.later], None, None]
+        return np.exp(alpha[:, 1] + beta[:, 1] - z[self.rank]), np.exp(pair).sum(0)
 
 
 def fit(docs: list[tuple[np.ndarray, np.ndarray, int]]) -> dict:
     """Weights, transitions and the final map from (own features, line lengths, label) of documents."""
     labels = np.array([y for *_, y in docs], np.float64)
     model = {"w": [0.0] * N_FEATURES, "t": [[0.0, 0.0], [0.0, 0.0]], "map": [1.0, 0.0], "prior": float(labels.mean()) if len(labels) else 0.5}
-    chains = []
-    for own, _, y in docs:
-        x = with_neighbours(own)
-        chains += [(x[i : i + SEGMENT], y) for i in range(0, len(x), SEGMENT)]
-    if not chains or labels.min() == labels.max():
+    docs = [d for d in docs if len(d[0])]
+    if not docs or labels.min() == labels.max():
         return model
-    chains.sort(key=lambda c: -len(c[0]))
-    steps = len(chains[0][0])
-    x = np.zeros((len(chains), steps, N_FEATURES), np.float32)
-    here = np.zeros((len(chains), steps))
-    for i, (c, _) in enumerate(chains):
-        x[i, : len(c)] = c
-        here[i, : len(c)] = 1
-    last = np.array([len(c) for c, _ in chains]) - 1
-    y = np.array([c[1] for c in chains], np.float64)
-    truth = here * y[:, None]
-    seen = np.array([[float(((1 - y) * last).sum()), 0.0], [0.0, float((y * last).sum())]])
-    flat, mask = x.reshape(-1, N_FEATURES), here.reshape(-1) > 0
-    flat = flat[mask].astype(np.float64)
-    n = len(flat)
+    sizes = [len(own) for own, *_ in docs]
+    chains = Chains(sizes)
+    x = np.concatenate([with_neighbours(own) for own, *_ in docs])[chains.row]
+    y = np.array([y for *_, y in docs], np.float64)
+    truth = y[chains.chain]
+    moves = np.array(sizes) - 1
+    seen = np.array([[float(((1 - y) * moves).sum()), 0.0], [0.0, float((y * moves).sum())]])
     theta, m, v = np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4)
     for r in range(1, ROUNDS + 1):
         w, t = theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2)
-        u = np.zeros(here.shape).reshape(-1)
-        u[mask] = flat @ w
-        p, moves = _expectations(u.reshape(here.shape), last, t)
-        slope = np.concatenate([flat.T @ (truth.reshape(-1)[mask] - p.reshape(-1)[mask]), (seen - moves).reshape(-1)]) / n - RIDGE * theta
+        p, expected = chains.expectations(x @ w, t)
+        slope = np.concatenate([x.T @ (truth - p), (seen - expected).reshape(-1)]) / len(x) - RIDGE * theta
         m = 0.9 * m + 0.1 * slope
         v = 0.99 * v + 0.01 * slope**2
         theta = theta + RATE * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
     model["w"] = theta[:N_FEATURES].tolist()
     model["t"] = theta[N_FEATURES:].reshape(2, 2).tolist()
-    raw = np.array([lead(own, sizes, model) for own, sizes, _ in docs if len(own)])
-    y = np.array([y for own, _, y in docs if len(own)], np.float64)
+    raw = np.array([lead(own, sizes, model) for own, sizes, _ in docs])
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps of a two-parameter logistic regression
         p = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
@@ -193,7 +210,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]]) -> dict:
 
 def lead(own: np.ndarray, sizes: np.ndarray, model: dict) -> float:
     """Log odds of the length-weighted mean of the lines' marginals."""
-    u = (with_neighbours(own) @ np.array(model["w"])).tolist()
+    u = array("d", potentials(own, np.array(model["w"])).tobytes())
     good = 1 / (1 + np.exp(-np.clip(marginals(u, model["t"]), -30, 30)))
     p = min(1 - 1e-6, max(1e-6, float((good * sizes).sum() / sizes.sum())))
     return math.log(p / (1 - p))
@@ -212,8 +229,8 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "quality") -> dict:
-    """Fit on at most ``sample`` labelled documents outside the held-out fifth."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES, longest: int = LONGEST, key: str = "doc_id", text: str = "text", label: str = "quality") -> dict:
+    """Fit on at most ``sample`` labelled documents, and ``lines`` lines, outside the held-out fifth."""
     ids = F.col(key).cast("bigint")
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(ids)).groupBy(ids.alias("id")).agg(F.min(label).alias("y"), F.max(label).alias("z"))
     picked = usable.where("y = z").orderBy(F.xxhash64("id"), "id").limit(sample).select("id", F.col("y").cast("int").alias("y"))
@@ -221,12 +238,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
 
     def run(batches):
         for b in batches:
-            got = [line_features(t) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(2), pa.array([own.astype("<f4").tobytes() for own, _ in got]), pa.array([s.astype("<f4").tobytes() for _, s in got])], names=["id", "y", "own", "sizes"])
-
-    got = rows.select("id", text, "y").mapInArrow(run, "id bigint, y int, own binary, sizes binary").toArrow().to_pylist()
-    once = {r["id"]: r for r in sorted(got, key=lambda r: (r["id"], r["own"]))}  # a repeated row teaches once
-    return fit([(np.frombuffer(r["own"], "<f4").reshape(-1, len(OWN)).astype(np.float64), np.frombuffer(r["sizes"], "<f4").astype(np.float64), r["y"]) for _, r in sorted(once.items())])
+            got = [line_features(t) if t.count("\n") < 10 * longest else None for t in b.column(1).to_pylist()]
+            keep = [k for k, g in enumerate(got) if g is not None and len(g[0]) <= longest]
+            own, sizes = ([got[k][i].astype("<f4").tobytes() for k in keep] for i in (0, 1))
+            yield pa.record_batch([b.column(0).take(keep), b.column(2).take(keep), pa.array(own, pa.binary()), pa.array(sizes, pa.binary())], names=["id", "y", "own", "sizes"])
+
+    # a repeated row teaches once; rows of one id are reduced before they meet
+    taught = rows.select("id", text, "y").mapInArrow(run, "id bigint, y int, own binary, sizes binary").groupBy("id", "y").agg(F.max(F.struct("own", "sizes")).alias("x"))
+    taught = materialize(taught, "training-documents")
+    # at most ``sample`` rows, then at most ``lines`` lines
+    chosen, left = [], lines
+    for r in taught.select("id", (F.octet_length("x.sizes") / 4).cast("bigint").alias("n")).orderBy(F.xxhash64("id"), "id").collect():
+        if r.n <= left:
+            chosen.append(r.id)
+            left -= r.n
+    got = taught.where(F.col("id").isin(chosen)).select("id", "y", "x.own", "x.sizes").toArrow().to_pylist() if chosen else []
+    return fit([(np.frombuffer(r["own"], "<f4").reshape(-1, len(OWN)).astype(np.float64), np.frombuffer(r["sizes"], "<f4").astype(np.float64), r["y"]) for r in sorted(got, key=lambda r: r["id"])])
 
 
 def quality_scores(docs: DataFrame, model: dict, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -83,8 +83,8 @@ def test_marginals_equal_enumeration():
         want = [sum(w for y, w in weight.items() if y[i]) / z for i in range(n)]
         got = 1 / (1 + np.exp(-np.array(crf.marginals(u.tolist(), t.tolist()))))
         assert np.allclose(got, want)
-        p, moves = crf._expectations(u[None], np.array([n - 1]), t)
-        assert np.allclose(p[0], want)
+        p, moves = crf.Chains([n]).expectations(u, t)
+        assert np.allclose(p, want)
         for a, b in itertools.product((0, 1), repeat=2):
             assert np.isclose(moves[a, b], sum(w * sum(y[i] == a and y[i + 1] == b for i in range(n - 1)) for y, w in weight.items()) / z)
 
@@ -127,6 +127,74 @@ def test_held_out_accuracy_and_edges(spark, make):
     assert crf.quality_scores(docs.limit(0), model).collect() == []
 
 
+def enumerated(own, w, t):
+    """(marginals of good, expected transitions, log of the total weight) over all labellings of one chain."""
+    u, n = crf.with_neighbours(own) @ w, len(own)
+    weights = {y: np.exp(sum(u[i] for i in range(n) if y[i]) + sum(t[y[i], y[i + 1]] for i in range(n - 1))) for y in itertools.product((0, 1), repeat=n)}
+    z = sum(weights.values())
+    moves = np.zeros((2, 2))
+    for y, x in weights.items():
+        for a, b in zip(y, y[1:]):
+            moves[a, b] += x / z
+    return np.array([sum(x for y, x in weights.items() if y[i]) / z for i in range(n)]), moves, np.log(z)
+
+
+def short_documents():
+    rng = np.random.default_rng(5)
+    return [(rng.random((n, len(crf.OWN))) + 0.3 * y, rng.integers(1, 50, n).astype(float), y) for n in (1, 4, 2, 6, 3, 1, 5) for y in (0, 1)]
+
+
+def test_fit_equals_a_plain_second_version():
+    docs = short_documents()
+    lines, k = sum(len(own) for own, *_ in docs), crf.N_FEATURES
+
+    def objective(theta):
+        w, t = theta[:k], theta[k:].reshape(2, 2)
+        ends = [(crf.with_neighbours(own) @ w).sum() * y + (len(own) - 1) * t[y, y] - enumerated(own, w, t)[2] for own, _, y in docs]
+        return sum(ends) / lines - crf.RIDGE * (theta**2).sum() / 2
+
+    theta, m, v = (np.zeros(k + 4) for _ in range(3))
+    for r in range(1, crf.ROUNDS + 1):
+        w, t = theta[:k], theta[k:].reshape(2, 2)
+        slope = np.zeros(k + 4)
+        for own, _, y in docs:
+            p, moves, _ = enumerated(own, w, t)
+            slope[:k] += crf.with_neighbours(own).T @ (y - p)
+            moves[y, y] -= len(own) - 1
+            slope[k:] -= moves.ravel()
+        slope = slope / lines - crf.RIDGE * theta
+        if r == 3:  # the slope is that of the likelihood
+            step = 1e-5 * np.eye(k + 4)
+            assert np.allclose(slope, [(objective(theta + e) - objective(theta - e)) / 2e-5 for e in step], atol=1e-7)
+        m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
+        theta = theta + crf.RATE * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
+    model = crf.fit(docs)
+    assert np.allclose(model["w"], theta[:k], atol=1e-6) and np.allclose(np.array(model["t"]).ravel(), theta[k:], atol=1e-6)
+
+
+def test_document_scores_equal_enumeration():
+    model = crf.fit(short_documents())
+    a, b = model["map"]
+    for text in ["One line only.", "a b c\nA B!! C\n\n x | y | z \nthe end of it.", "same\nsame\nsame\nother words here"]:
+        own, sizes = crf.line_features(text)
+        good = enumerated(own, np.array(model["w"]), np.array(model["t"]))[0]
+        p = (good * sizes).sum() / sizes.sum()
+        assert np.isclose(crf.score(text, model), 1 / (1 + np.exp(-(a * np.log(p / (1 - p)) + b))))
+
+
+def test_training_is_bounded_by_lines(spark, make, monkeypatch):
+    line = "Good words stand in this line."
+    rows = [(i, "\n".join([line if i % 2 else "x | y"] * 40)) for i in range(1, 60)] + [(100, "\n".join([line] * 30_000)), (101, "\n".join([line] * 1200)), (102, None)]
+    rows += [(3, rows[2][1])] * 200  # one id with many rows
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(1, 60), 100, 101, 102]], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(crf, "fit", lambda docs: seen.append([len(own) for own, *_ in docs]))
+    crf.train(make(rows), labels, lines=400)
+    assert sum(seen[0]) <= 400 and set(seen[0]) <= {0, 40} and seen[0].count(40) == 10
+    crf.train(make(rows), labels)
+    assert max(seen[1]) == 40
+
+
 def test_without_labels_every_score_is_a_half(spark, odd):
     model = crf.train(odd, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
     assert {r.score for r in crf.quality_scores(odd, model).collect()} == {0.5}
