@@ -3,7 +3,10 @@
 Packing depends on lengths alone, and there are at most ``capacity`` of them.  So
 the corpus is reduced to a histogram of lengths, the driver packs the histogram,
 and every document finds its place from its length and its rank among the
-documents of that length.  A bin is filled greedily, the longest document that
+documents of that length.  Pieces of full length need no rank: each is a sequence
+of its own.  The others are ranked in groups of about ``PER_GROUP``, as many as
+their length's count asks for, and the ranks of a length's groups follow on each
+other; so no task grows with the corpus, and the driver holds ``capacity`` numbers.  A bin is filled greedily, the longest document that
 still fits first; then its smallest document gives way to the two unpacked
 documents that fill the gap so made most tightly.  As long as no length runs
 out, the next bin comes out the same, so a bin is planned once with the number
@@ -29,8 +32,8 @@ from argentum.storage import materialize, table
 from .common import WORD_BPE, claim, text_or_empty, vocabulary
 from .library_ids import library_ids
 
-#: Documents of one length are ranked in so many groups, so that a common length is not one task's work.
-RANK_GROUPS = 256
+#: Documents of one length are ranked in groups of about so many, so that a common length is not one task's work.
+PER_GROUP = 100_000
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -127,38 +130,39 @@ def places(bins: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
     return {size: np.array(rows, np.int64) for size, rows in out.items()}
 
 
-def best_fit_pack(parts: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
-    """Adds sequence_id and offset to the rows of ``pieces``; ``parts`` is read three times."""
+def best_fit_pack(parts: DataFrame, capacity: int, key: str = "doc_id", per_group: int = PER_GROUP) -> DataFrame:
+    """Adds sequence_id and offset to the rows of ``pieces``; ``parts`` is a written table, read four times.
+
+    Full pieces have negative sequence ids, the packed ones count from 0.
+    """
     spark = parts.sparkSession
-    counts = np.zeros(capacity + 1, np.int64)
-    group = F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(RANK_GROUPS)).cast("int")
-    rows = parts.withColumn("rank_group", group)
-    by_group = rows.groupBy("length", "rank_group").agg(F.count("*").alias("n"))
-    # at most capacity * RANK_GROUPS rows, whatever the corpus
-    table = by_group.toArrow()
-    lengths, groups, n = (table.column(c).to_numpy() for c in ("length", "rank_group", "n"))
-    before = np.zeros((capacity + 1, RANK_GROUPS), np.int64)
-    before[lengths, groups] = n
-    counts += before.sum(1)
-    before = np.cumsum(before, 1) - before
-    plan = spark.sparkContext.broadcast((places(best_two_fit(counts, capacity)), before.astype(np.int64)))
+    shown = [key, "piece", "start", "length", "ids_crc32"]
+    full = parts.where(F.col("length") == capacity).select(*shown, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    rest = parts.where(F.col("length") < capacity)
+    counts = np.zeros(capacity, np.int64)
+    for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most ``capacity`` rows
+        counts[r["length"]] = r.n
+    groups = F.get(F.array(*(F.lit(max(1, -(-int(n) // per_group))) for n in counts)), F.col("length").cast("int"))
+    rows = rest.withColumn("rank_group", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), groups).cast("int"))
+    earlier = F.sum("n").over(Window.partitionBy("length").orderBy("rank_group")) - F.col("n")
+    before = materialize(rows.groupBy("length", "rank_group").agg(F.count("*").alias("n")).select("length", "rank_group", earlier.alias("before")), "ranks-before")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("length", "rank_group").orderBy(key, "piece", "ids_crc32")) - 1)
+    ranked = ranked.join(before, ["length", "rank_group"]).select(*shown, (F.col("rank") + F.col("before")).alias("rank"))
+    plan = spark.sparkContext.broadcast(places(best_two_fit(counts, capacity)))
 
     def place(batches):
-        where, earlier = plan.value
+        where = plan.value
         for b in batches:
-            size, grp, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "rank_group", "rank"))
-            rank = rank + earlier[size, grp]
+            size, rank = b.column(3).to_numpy(), b.column(5).to_numpy()
             seq, off = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
             for s in np.unique(size):
                 mine, t = np.flatnonzero(size == s), where[int(s)]
                 k = np.searchsorted(t[:, 0], rank[mine], "right") - 1
                 seq[mine], off[mine] = t[k, 2] + rank[mine] - t[k, 0], t[k, 3]
-            yield pa.record_batch([*(b.column(i) for i in range(5)), pa.array(seq), pa.array(off)], names=[key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.record_batch([*(b.column(i) for i in range(5)), pa.array(seq), pa.array(off)], names=[*shown, "sequence_id", "offset"])
 
     kind = parts.schema[key].dataType.simpleString()
-    cols = [key, "piece", "start", "length", "ids_crc32", "rank_group", "rank"]
-    return ranked.select(*cols).mapInArrow(place, f"{key} {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(place, f"{key} {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint").union(full)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
