@@ -15,7 +15,7 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"RPAIR001"
+MAGIC = b"RPAIR002"
 _HEAD = struct.Struct("<8sIIIQQQI")
 
 
@@ -91,14 +91,18 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
 
 
 def pack(symbols: np.ndarray, rules: np.ndarray, keys: np.ndarray, null: np.ndarray, counts: np.ndarray, first: int) -> bytes:
-    """A container: head, rules, expansion lengths, document keys, null flags, ids per document, symbols."""
+    """A container: head, rules, expansion lengths, document keys, null flags, ids per document, first symbol of each document, symbols."""
     wide = symbols.dtype.itemsize
+    starts = np.concatenate([[0], np.flatnonzero(symbols == first - 1) + 1])
+    if len(starts) != len(keys) + 1:
+        raise ValueError("not one separator to each document")
     body = b"".join([
         rules.astype(symbols.dtype).tobytes(),
         expansion_lengths(rules, first).astype("<u4").tobytes(),
         keys.astype("<i8").tobytes(),
         null.astype("u1").tobytes(),
         counts.astype("<u4").tobytes(),
+        starts.astype("<u4").tobytes(),
         symbols.tobytes(),
     ])
     return _HEAD.pack(MAGIC, wide, first, len(rules), len(keys), len(symbols), int(counts.sum()), zlib.crc32(body)) + body
@@ -122,7 +126,7 @@ class Container:
 
         self.rules = take(kind, 2 * n_rules).reshape(-1, 2)
         self.lengths = take("<u4", n_rules)
-        self.keys, self.null, self.counts = take("<i8", n_docs), take("u1", n_docs), take("<u4", n_docs)
+        self.keys, self.null, self.counts, self.starts = take("<i8", n_docs), take("u1", n_docs), take("<u4", n_docs), take("<u4", n_docs + 1)
         self.symbols = take(kind, n_symbols)
         self.separator = self.first - 1
 
@@ -150,7 +154,45 @@ class Container:
         out[out == self.separator] = end_id
         return out.astype("<u4", copy=False)
 
+    def sizes(self, symbols: np.ndarray) -> np.ndarray:
+        """How many ids each symbol stands for."""
+        rule = symbols.astype(np.int64) - self.first
+        if not len(self.lengths):
+            return np.ones(len(symbols), np.int64)
+        return np.where(rule < 0, 1, self.lengths[np.maximum(rule, 0)]).astype(np.int64)
+
+    def _part(self, symbol: int, i: int, j: int, out: list) -> None:
+        """Ids i .. j - 1 of one symbol; a rule's side outside that range is passed over by its length."""
+        todo = [(symbol, i, j)]
+        while todo:
+            s, i, j = todo.pop()
+            if s < self.first:
+                out.append(s)
+                continue
+            a, b = self.rules[s - self.first].tolist()
+            n = 1 if a < self.first else int(self.lengths[a - self.first])
+            if j > n:
+                todo.append((b, max(0, i - n), j - n))
+            if i < n:
+                todo.append((a, i, min(j, n)))
+
+    def slice(self, k: int, i: int = 0, j: int | None = None, end_id: int = 0) -> np.ndarray:
+        """Ids i .. j - 1 of the k-th document, from its own symbols and the rules that these ids need."""
+        n = int(self.counts[k])
+        i, j = min(i, n), n if j is None else min(j, n)
+        if i >= j:
+            return np.zeros(0, "<u4")
+        symbols = self.symbols[self.starts[k] : self.starts[k + 1]]
+        stops = np.cumsum(self.sizes(symbols))
+        x, y = int(np.searchsorted(stops, i, "right")), int(np.searchsorted(stops, j, "left"))
+        out: list = []
+        for p in range(x, y + 1):
+            before = int(stops[p - 1]) if p else 0
+            self._part(int(symbols[p]), max(0, i - before), min(int(stops[p]), j) - before, out)
+        ids = np.array(out, "<u4")
+        ids[ids == self.separator] = end_id
+        return ids
+
     def document(self, k: int, end_id: int = 0) -> np.ndarray:
         """Ids of the k-th document alone, with its end id."""
-        ends = np.flatnonzero(self.symbols == self.separator)
-        return self.decode(self.symbols[(ends[k - 1] + 1 if k else 0) : ends[k] + 1], end_id)
+        return self.slice(k, end_id=end_id)

@@ -46,7 +46,8 @@ def _shards(batches, path: str, vocab: int, shard_ids: int):
         symbols, rules = repair.compress(np.frombuffer(b"".join(held), dtype), vocab + 1, vocab)
         null = np.array([k is None for k in keys])
         blob = repair.pack(symbols, rules, np.array([0 if k is None else k for k in keys], np.int64), null, np.array(counts, np.int64), vocab + 1)
-        return pa.record_batch([[part], [seq], [len(keys)], [total], [blob]], schema=_SHARDS)
+        named = [k for k in keys if k is not None]
+        return pa.record_batch([[part], [seq], [len(keys)], [total], [min(named, default=None)], [max(named, default=None)], [blob]], schema=_SHARDS)
 
     for b in batches:
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -63,7 +64,7 @@ def _shards(batches, path: str, vocab: int, shard_ids: int):
         yield flush()
 
 
-_SHARDS = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("blob", pa.binary())])
+_SHARDS = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("blob", pa.binary())])
 
 
 def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", shard_ids: int = 1 << 20, to: str | None = None) -> str:
@@ -78,7 +79,7 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
         .sortWithinPartitions(key, "tie")
         .select(key, text)
     )
-    shards = rows.mapInArrow(lambda it: _shards(it, path, vocab, shard_ids), "part int, seq int, n_docs bigint, n_ids bigint, blob binary")
+    shards = rows.mapInArrow(lambda it: _shards(it, path, vocab, shard_ids), "part int, seq int, n_docs bigint, n_ids bigint, first_key bigint, last_key bigint, blob binary")
     if to is None:
         return write_table(shards, "token-store")
     shards.write.parquet(to)
@@ -135,6 +136,24 @@ def read_ids(spark: SparkSession, store_dir: str, end_id: int = 0) -> DataFrame:
     return spark.read.parquet(store_dir).select("blob").mapInArrow(run, "doc_id bigint, ids array<bigint>")
 
 
+def read_slice(spark: SparkSession, store_dir: str, doc_id: int, first: int = 0, stop: int | None = None, end_id: int = 0) -> DataFrame:
+    """(doc_id, ids array<bigint>): ids first .. stop - 1 of one document, once for each row with that id.
+
+    Only shards whose key range holds the id are read, and of their grammar only the rules that these ids need.
+    """
+
+    def run(batches):
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                c = repair.Container(blob)
+                found = np.flatnonzero((c.keys == doc_id) & (c.null == 0)).tolist()
+                ids = [c.slice(k, first, stop, end_id).astype(np.int64) for k in found]
+                yield pa.record_batch([pa.array([doc_id] * len(found), pa.int64()), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    shards = spark.read.parquet(store_dir).where((F.col("first_key") <= doc_id) & (F.col("last_key") >= doc_id))
+    return shards.select("blob").mapInArrow(run, "doc_id bigint, ids array<bigint>")
+
+
 def op2_token_store(spark, sf_dir: str) -> DataFrame:
     """Write the store, read it back."""
     scratch_dir(spark)

@@ -97,6 +97,15 @@ def test_grammar_round_trip(dtype):
     assert c.decode(end_id=7).tolist() == np.where(flat == sep, 7, flat).tolist()
     for k in (0, 5, len(docs) - 2, len(docs) - 1):
         assert c.document(k, 7).tolist() == [*docs[k].tolist(), 7]
+    used = []
+    c._part, part = lambda s, i, j, out: used.append(s) or part(s, i, j, out), c._part
+    draw = random.Random(4)
+    for k in [draw.randrange(len(docs)) for _ in range(60)] + [len(docs) - 2] * 10:
+        i, j = sorted((draw.randrange(len(docs[k]) + 3), draw.randrange(len(docs[k]) + 3)))
+        used.clear()
+        assert c.slice(k, i, j, 7).tolist() == [*docs[k].tolist(), 7][i:j]
+        assert len(used) <= j - i
+    del c._part
     assert c.lengths.tolist() == [len(c.decode(np.array([first + k], c.symbols.dtype))) for k in range(len(rules))]
     with pytest.raises(ValueError):
         data = bytearray(repair.pack(symbols, rules, np.arange(len(docs)), np.zeros(len(docs), bool), counts, first))
@@ -119,6 +128,10 @@ def test_token_store(spark, odd):
         assert keys == sorted(keys, key=lambda k: -1 if k is None else k)
         back = {r.doc_id: r.ids for r in token_store.read_ids(spark, to).collect()}
         assert back[7] == [*ids(BYTE, ODD[6][1]), 0]
+        for i, a, b in ((8, 2990, 3002), (7, 0, None), (3, 0, 5), (9, 100, 140)):
+            got = [r.ids for r in token_store.read_slice(spark, to, i, a, b).collect()]
+            assert got == [[*ids(BYTE, next(t for k, t in ODD if k == i)), 0][a:b]]
+        assert token_store.read_slice(spark, to, 999).collect() == [] and len(token_store.read_slice(spark, to, 12).collect()) == 2
     empty = token_store.write_store(odd.limit(0), BYTE)
     assert token_store.read_digests(spark, empty).collect() == []
 
@@ -158,6 +171,47 @@ def test_best_two_fit_replaces_the_smallest():
     assert packing.best_two_fit(counts, 100)[0] == ([60, 20, 19], 1)
 
 
+def plainly(sizes, capacity):
+    """Best-two-fit bin by bin over the documents themselves."""
+    left, bins = sorted(sizes), []
+    while left:
+        own, gap = [], capacity
+        while fits := [s for s in left if s <= gap]:
+            own.append(fits[-1])
+            left.remove(fits[-1])
+            gap -= fits[-1]
+        small = min(own)
+        pairs = [(a + b, -a, b) for n, a in enumerate(left) for b in left[n + 1 :] if small < a + b <= gap + small]
+        if gap and pairs:
+            _, a, b = max(pairs)
+            own.remove(small)
+            for s in (-a, b):
+                own.append(s)
+                left.remove(s)
+            left = sorted([*left, small])
+        bins.append(sorted(own, reverse=True))
+    return bins
+
+
+def test_best_two_fit_equals_a_plain_version():
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 40, 150):
+        for capacity in (10, 37, 100):
+            sizes = np.minimum(capacity - 1, rng.integers(1, capacity, n) if n % 2 else rng.geometric(0.15, n))
+            counts = np.bincount(sizes, minlength=capacity)
+            assert [b for b, times in packing.best_two_fit(counts, capacity) for _ in range(times)] == plainly(sizes.tolist(), capacity)
+
+
+def test_ranks_in_many_groups_fill_the_same_bins(spark):
+    rng = np.random.default_rng(7)
+    sizes = [10] * 7 + rng.integers(1, 10, 300).tolist()
+    parts = spark.createDataFrame([(None if i % 50 == 0 else i, 0, 0, s, i % 3) for i, s in enumerate(sizes)], "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint").repartition(3)
+    want = sum(times for _, times in packing.best_two_fit(np.bincount([s for s in sizes if s < 10], minlength=10), 10)) + 7
+    for per_group in (3, 100_000):
+        got = packing.best_fit_pack(packing.materialize(parts, "parts"), 10, per_group=per_group).collect()
+        assert len(got) == len(sizes) and check_packing(got, 10) == want
+
+
 def test_best_two_fit_uses_every_document_once():
     rng = np.random.default_rng(4)
     for _ in range(20):
