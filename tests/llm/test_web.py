@@ -1,8 +1,10 @@
 import hashlib
 import math
+import re
 import struct
 
 import pytest
+import xxhash
 import zstandard
 from llm_odd import rows_of
 
@@ -30,7 +32,7 @@ def rule(host, path):
 
 @pytest.fixture(scope="module")
 def weights(spark):
-    return uf.train(uf.labelled_table(spark))
+    return uf.production_weights(spark)
 
 
 def test_urls(spark, weights):
@@ -49,25 +51,60 @@ def test_urls(spark, weights):
     assert uf.judge_urls(pages.limit(0), weights).collect() == []
 
 
+def plain_buckets(host, path):
+    """Bucket numbers by the hash's own library: xxh64 with seed 42, signed, modulo the number of buckets."""
+    out = set()
+    for text, mark in ((host, "h"), (path, "p")):
+        text = "^" + re.sub("[0-9]", "0", text) + "$"
+        for i in range(len(text) - 2):
+            h = xxhash.xxh64_intdigest((mark + text[i : i + 3]).encode(), 42)
+            out.add((h - 2**64 if h >= 2**63 else h) % uf.BUCKETS)
+    return out
+
+
 def test_scores_equal_a_plain_computation(spark, weights):
     from pyspark.sql import functions as F
 
-    rows = spark.createDataFrame([("thing.example.com", "/en/12"), ("", ""), ("é.com", "/ü")], "host string, path string")
-    got = rows.select("host", uf.buckets(F.col("host"), F.col("path")).alias("b"), uf.probability(F.col("host"), F.col("path"), weights).alias("p")).collect()
+    rows = spark.createDataFrame([("thing.example.com", "/en/12"), ("", ""), ("é.com", "/ü"), ("a", "/a\nb"), ("casino.test", "/" + "x/y" * 500)], "host string, path string")
+    got = rows.select("host", "path", uf.buckets(F.col("host"), F.col("path")).alias("b"), uf.probability(F.col("host"), F.col("path"), weights).alias("p")).collect()
     for r in got:
-        z = weights[-1] + sum(weights[b] for b in r.b) / math.sqrt(max(1, len(r.b)))
+        b = plain_buckets(r.host, r.path)
+        assert set(r.b) == b and len(r.b) == len(b)
+        z = weights[-1] + sum(weights[x] for x in b) / math.sqrt(max(1, len(b)))
         assert math.isclose(r.p, 1 / (1 + math.exp(-z)), rel_tol=1e-9)
 
 
-def test_training_separates_its_rows_and_takes_nulls(spark, weights):
-    table = uf.labelled_table(spark)
+def test_weights_equal_a_plain_fit(spark, weights):
+    rows = sorted((hashlib.md5(r.url.encode()).hexdigest(), r.label, r.url) for r in uf.labelled_table(spark).where("NOT held_out").collect())
+    w = [0.0] * (uf.BUCKETS + 1)
+    for _ in range(uf.EPOCHS):
+        for _, y, url in rows:
+            b = plain_buckets(*parts(url))
+            scale = 1 / math.sqrt(max(1, len(b)))
+            g = uf.RATE * (y - 1 / (1 + math.exp(-(w[-1] + sum(w[x] for x in b) * scale))))
+            w = [x * (1 - uf.DECAY) for x in w]
+            for x in b:
+                w[x] += g * scale
+            w[-1] += g
+    assert all(math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-9) for a, b in zip(w, weights))
+
+
+def test_training_takes_nulls_and_any_order(spark, weights):
+    table = uf.labelled_table(spark).where("NOT held_out").select("url", "label")
     again = uf.train(table.union(spark.createDataFrame([("http://x.com", None), (None, None)], "url string, label int")).repartition(5))
     assert again == weights
+
+
+def test_accuracy_on_hosts_absent_from_training(spark, weights):
     from pyspark.sql import functions as F
 
+    table = uf.labelled_table(spark)
     host, path = uf.host_and_path(F.col("url"))
-    p = table.select("label", uf.probability(host, path, weights).alias("p"))
-    assert p.where("(p >= 0.5) <> (label = 1)").count() == 0
+    rows = table.select("held_out", host.alias("host"), (F.col("label") == 1).alias("unwanted"), (uf.probability(host, path, weights) >= 0.5).alias("blocked")).collect()
+    assert not {r.host for r in rows if r.held_out and r.host} & {r.host for r in rows if not r.held_out}
+    for held, least in ((True, 0.8), (False, 0.95)):
+        own = [r.unwanted == r.blocked for r in rows if r.held_out == held]
+        assert len(own) > 40 and sum(own) >= least * len(own)
 
 
 # --- archives ----------------------------------------------------------------
