@@ -33,7 +33,7 @@ from .common import WORD_BPE, claim, text_or_empty, vocabulary
 from .library_ids import library_ids
 
 #: Documents of one length are ranked in groups of about so many, so that a common length is not one task's work.
-PER_GROUP = 100_000
+PER_GROUP = 1000
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
