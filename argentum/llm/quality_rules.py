@@ -29,7 +29,7 @@ LEAST_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 #: Largest share of the words' characters inside duplicated n-grams, by n.
 COVERAGE = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.25, 9: 0.24, 10: 0.23}
 #: Largest share of characters inside lines that equal an earlier one, and of symbols among words.
-LINE_COVERAGE, SYMBOLS_PER_WORD = 0.30, 0.50
+LINE_COVERAGE, SYMBOLS_PER_WORD = 0.30, 0.10
 
 _SYMBOLS = b"#*$%&|<>"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
