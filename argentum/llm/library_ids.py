@@ -17,6 +17,9 @@ from . import bpe
 from .common import cache_of, library
 
 
+_LITTLE = sys.byteorder == "little"
+
+
 class LibraryIds:
     """``encode(text) -> bytes``: ids of ``dtype`` without begin, end or added special tokens."""
 
@@ -25,33 +28,49 @@ class LibraryIds:
         spec = bpe.load(path)
         self.word_level, self.special = bool(spec.suffix), tuple(spec.special)
         self.model, self.alphabet = self.lib.model, bpe.byte_alphabet()
-        self.words = bpe.Memo(self._pretoken, 200_000 if self.word_level else 400_000)
-        self.pieces = bpe.Memo(self._word_piece if self.word_level else self._byte_piece, 150_000 if self.word_level else 500_000)
+        self.space, self.marks = self.alphabet[0x20], (",", ".")
+        self.words = bpe.Memo(self._pretoken, 100_000)
+        self.pieces = bpe.Memo(self._word_piece if self.word_level else self._byte_piece, 250_000 if self.word_level else 300_000)
 
     def pack(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
+        return array(self.code, ids).tobytes() if _LITTLE else np.array(ids, self.dtype).tobytes()
 
     def whole(self, text: str) -> bytes:
         return self.pack(self.lib.encode(text, add_special_tokens=False).ids)
 
     def _pretoken(self, pretoken: str) -> bytes:
         """One pre-token, by the library's model alone: its bytes are spelled in the vocabulary's alphabet."""
-        spelled = "".join([self.alphabet[b] for b in pretoken.encode()])
+        return self._spelled("".join([self.alphabet[b] for b in pretoken.encode()]))
+
+    def _spelled(self, spelled: str) -> bytes:
         return self.pack([t.id for t in self.model.tokenize(spelled)])
 
     def _word_piece(self, piece: str) -> bytes:
         """White space ends every pre-token of a word-end vocabulary, so any piece stands alone."""
+        if piece.isascii() and piece.isalpha() and piece.islower():  # spelled as it is
+            return self._spelled(piece)
         parts = bpe.word_and_tail(piece)
         if parts and (low := parts[0].lower()).isalpha():
-            return self.words[low] + (self.words[parts[1]] if parts[1] else b"")
+            if low == piece:  # this cache is its only place
+                return self._pretoken(low)
+            return self.pieces[low] + (self.words[parts[1]] if parts[1] else b"")
         if "\n" in piece:
             return b"".join([self.pieces[x] for x in piece.split("\n")])
         return self.whole(piece) if piece else b""
 
     def _byte_piece(self, piece: str, before: str = " ") -> bytes | None:
         """A piece after ``before``; a single line feed between two non-spaces is a pre-token of its own."""
+        if before == " " and piece.isascii():
+            if piece.isalpha():  # spelled as it is, after a space
+                return self._spelled(self.space + piece)
+            if piece[-1:] in self.marks and piece[:-1].isalpha():
+                return self.pieces[piece[:-1]] + self.words[piece[-1]]
         if parts := bpe.word_and_tail(piece):
-            return self.words[before + parts[0]] + (self.words[parts[1]] if parts[1] else b"")
+            word, tail = parts
+            if before != " ":
+                return self.words[before + word] + (self.words[tail] if tail else b"")
+            # a word after a space is kept among the pieces alone
+            return self.pieces[word] + self.words[tail] if tail else self._pretoken(before + word)
         if not bpe.separable(piece, self.special):
             return None
         if "\n" in piece and "\n\n" not in piece:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 
@@ -24,58 +25,88 @@ def compress(symbols: np.ndarray, first: int, separator: int, batch: int = 4096,
 
     symbols: uint16 or uint32; ids below ``first`` are terminals.  A round takes up
     to ``batch`` pairs that occur ``least`` times or more; rounds go on until no pair
-    does or the symbol type has no values left.
+    does or the symbol type has no values left.  Only a pair with a new symbol can
+    have become frequent since the last round, so a round looks at those alone; when
+    none is left, one over all pairs finds what the batches left over, if anything.
     """
     wide, bits = (np.uint32, 16) if symbols.dtype == np.uint16 else (np.uint64, 32)
+    low = wide((1 << bits) - 1)
     room = int(np.iinfo(symbols.dtype).max) - first + 1
     rules: list[np.ndarray] = []
-    made = 0
+    made, newest = 0, None  # the smallest symbol of the last round; none for a round over all pairs
     slots = 18
-    while True:
-        n = len(symbols)
-        if n < 2 or made >= room:
-            break
-        code = (symbols[:-1].astype(wide) << wide(bits)) | symbols[1:]
-        ordered = np.sort(code)
-        ends = np.flatnonzero(ordered[1:] != ordered[:-1])
-        ends = np.append(ends, n - 2)
-        counts = np.diff(ends, prepend=-1)
-        often = np.flatnonzero(counts >= least)
-        pairs, counts = ordered[ends[often]], counts[often]
-        inner = ((pairs >> wide(bits)) != separator) & ((pairs & wide((1 << bits) - 1)) != separator)
-        pairs, counts = pairs[inner], counts[inner]
-        top = np.argsort(-counts, kind="stable")[: min(batch, room - made)]
-        pairs = pairs[top]
+    held, name = np.zeros(1 << slots, wide), np.zeros(1 << slots, symbols.dtype)
+    while len(symbols) > 1 and made < room:
+        if newest is None:
+            code, at = symbols[:-1].astype(wide), None
+            code <<= wide(bits)
+            code |= symbols[1:]
+        else:
+            at = _beside(symbols, newest)
+            code = symbols[at].astype(wide) << wide(bits) | symbols[at + 1]
+        pairs = _frequent(code, separator, least, bits)[: min(batch, room - made)]
         if not len(pairs):
-            break
+            if newest is None:
+                break
+            newest = None
+            continue
         # a direct table from a pair's hash to its nonterminal; of pairs that collide the more frequent stays
         slot = _slot(pairs, slots, bits)
         _, keep = np.unique(slot, return_index=True)
         keep.sort()
         pairs, slot = pairs[keep], slot[keep]
-        held = np.zeros(1 << slots, wide)
-        name = np.zeros(1 << slots, symbols.dtype)
+        held[0] = np.iinfo(wide).max
         held[slot] = pairs
-        held[0] = held[0] if 0 in slot else wide((1 << (2 * bits)) - 1)
         name[slot] = np.arange(first + made, first + made + len(pairs)).astype(symbols.dtype)
-        at = _slot(code, slots, bits)
-        hits = np.flatnonzero((held[at] == code) & (code != 0))
-        if not len(hits):
-            break
+        of = _slot(code, slots, bits)
+        found = np.flatnonzero(held[of] == code)
+        put = name[of[found]]
+        held[slot] = 0
+        hits = found if at is None else at[found]
         # in a run of neighbouring hits every second one, from the first
         begins = np.flatnonzero(np.diff(hits, prepend=hits[0] - 2) != 1)
         into = np.arange(len(hits)) - np.repeat(begins, np.diff(np.append(begins, len(hits))))
-        hits = hits[into % 2 == 0]
-        rules.append(np.stack([pairs >> wide(bits), pairs & wide((1 << bits) - 1)], 1).astype(symbols.dtype))
+        even = into % 2 == 0
+        hits = hits[even]
+        rules.append(np.stack([pairs >> wide(bits), pairs & low], 1).astype(symbols.dtype))
+        newest = first + made
         made += len(pairs)
-        symbols = symbols.copy()
-        symbols[hits] = name[at[hits]]
-        keep = np.ones(n, bool)
-        keep[hits + 1] = False
-        symbols = symbols[keep]
+        symbols = _replaced(symbols, hits, put[even])
     return symbols, np.concatenate(rules) if rules else np.zeros((0, 2), symbols.dtype)
 
 
+def _replaced(symbols: np.ndarray, at: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Symbols with each pair that begins at ``at`` replaced by one symbol."""
+    symbols = symbols.copy()
+    symbols[at] = by
+    if len(at) < 1000:  # whole stretches between a few places
+        return np.concatenate([symbols[a:b] for a, b in zip([0, *(at + 2).tolist()], [*(at + 1).tolist(), len(symbols)])])
+    keep = np.ones(len(symbols), bool)
+    keep[at + 1] = False
+    return symbols[keep]
+
+
+def _beside(symbols: np.ndarray, newest: int) -> np.ndarray:
+    """Where a pair begins that holds a symbol from ``newest`` on."""
+    new = symbols >= newest
+    return np.flatnonzero(new[:-1] | new[1:])
+
+
+def _frequent(code: np.ndarray, separator: int, least: int, bits: int) -> np.ndarray:
+    """The pairs that occur ``least`` times or more, the most frequent first; none with the separator."""
+    if not len(code):
+        return code
+    wide = code.dtype.type
+    ordered = np.sort(code)
+    ends = np.append(np.flatnonzero(ordered[1:] != ordered[:-1]), len(ordered) - 1)
+    counts = np.diff(ends, prepend=-1)
+    often = counts >= least
+    pairs, counts = ordered[ends[often]], counts[often]
+    inner = ((pairs >> wide(bits)) != separator) & ((pairs & wide((1 << bits) - 1)) != separator)
+    pairs, counts = pairs[inner], counts[inner]
+    return pairs[np.argsort(-counts, kind="stable")]
+
+
 def _slot(code: np.ndarray, slots: int, bits: int) -> np.ndarray:
     if bits == 16:
         return (code * np.uint32(2654435761)) >> np.uint32(32 - slots)
@@ -108,6 +139,13 @@ def pack(symbols: np.ndarray, rules: np.ndarray, keys: np.ndarray, null: np.ndar
     return _HEAD.pack(MAGIC, wide, first, len(rules), len(keys), len(symbols), int(counts.sum()), zlib.crc32(body)) + body
 
 
+@lru_cache(2)
+def _terminals(first: int) -> list[bytes]:
+    """Each terminal's id as four bytes."""
+    data = np.arange(first, dtype="<u4").tobytes()
+    return [data[i : i + 4] for i in range(0, len(data), 4)]
+
+
 class Container:
     """Reads a container; documents decode alone or all at once."""
 
@@ -133,14 +171,10 @@ class Container:
     def _flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Every symbol's expansion, one after another, with starts and lengths."""
         sizes = np.concatenate([np.ones(self.first, np.int64), self.lengths.astype(np.int64)])
-        starts = np.cumsum(sizes) - sizes
-        flat = np.empty(int(sizes.sum()), np.uint32)
-        flat[: self.first] = np.arange(self.first)
-        for k, (a, b) in enumerate(self.rules.tolist()):
-            s, m = starts[self.first + k], sizes[a]
-            flat[s : s + m] = flat[starts[a] : starts[a] + m]
-            flat[s + m : s + m + sizes[b]] = flat[starts[b] : starts[b] + sizes[b]]
-        return flat, starts, sizes
+        spelled = _terminals(self.first).copy()
+        for a, b in self.rules.tolist():
+            spelled.append(spelled[a] + spelled[b])
+        return np.frombuffer(b"".join(spelled), "<u4"), np.cumsum(sizes) - sizes, sizes
 
     def decode(self, symbols: np.ndarray | None = None, end_id: int = 0) -> np.ndarray:
         """All ids as little-endian uint32, the end id in place of each separator."""
