@@ -17,8 +17,10 @@ Empty tables make no archive.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
+import uuid
 
 import pyarrow as pa
 import zstandard
@@ -147,6 +149,29 @@ def records(data: bytes):
         yield headers, rest[:n]
 
 
+def export_archives(archives: DataFrame, folder: str, content: str = "content") -> DataFrame:
+    """(name, bytes): archives as ``.warc.zst`` files in a folder that all tasks see; a name is the content's digest.
+
+    A file appears under its name once it is whole, so a task that is run again
+    leaves the same files.
+    """
+
+    def run(batches):
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            names, sizes = [], []
+            for data in b.column(0).to_pylist():
+                names.append(f"{hashlib.sha1(data).hexdigest()}.warc.zst")
+                sizes.append(len(data))
+                part = os.path.join(folder, f".{names[-1]}.{uuid.uuid4().hex[:8]}")
+                with open(part, "wb") as f:
+                    f.write(data)
+                os.replace(part, os.path.join(folder, names[-1]))
+            yield pa.record_batch([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["name", "bytes"])
+
+    return archives.select(content).mapInArrow(run, "name string, bytes bigint")
+
+
 _PAGE = re.compile(r"<urn:page:(-?\d+|none)>")
 
 

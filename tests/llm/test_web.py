@@ -165,3 +165,15 @@ def test_archive_layout_and_damage(spark, tmp_path):
     headers, block = next(warc.records(data))
     with pytest.raises(ValueError):
         warc.parse_record(headers | {"warc-payload-digest": "sha1:" + "0" * 40, "warc-type": "response"}, block + b"")
+
+
+def test_archives_as_files(spark, tmp_path):
+    to = warc.write_archives(pages(spark), archive_bytes=500)
+    folder = str(tmp_path / "archives")
+    for _ in range(2):
+        made = warc.export_archives(spark.read.parquet(to), folder).collect()
+    files = {p.name: p.read_bytes() for p in (tmp_path / "archives").iterdir()}
+    assert len(files) > 1 and {r.name: r.bytes for r in made} == {n: len(d) for n, d in files.items()}
+    assert all(n.endswith(".warc.zst") and struct.unpack_from("<I", d)[0] == warc.DICTIONARY_MAGIC for n, d in files.items())
+    back = warc.read_archives(spark.read.format("binaryFile").load(folder))
+    assert rows_of(back, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == wanted(PAGES)
