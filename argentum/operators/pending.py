@@ -68,7 +68,7 @@ def prune_plan(files: DataFrame, present: DataFrame, parents: DataFrame, trust_m
 
     ``present`` lists existing paths, ``parents`` existing folders.
     """
-    gone = files.select("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("parent")).join(present.select("path"), "path", "left_anti")
+    gone = files.select("path", C.parent_folder("path").alias("parent")).join(present.select("path"), "path", "left_anti")
     known = gone.join(parents.withColumn("there", F.lit(True)), "parent", "left")
     trusted = F.lit(True) if trust_missing_parents else F.coalesce("there", F.lit(False))
     return known.select("path", F.when(trusted, "remove").otherwise("unreachable").alias("action"))
@@ -81,9 +81,19 @@ def prune_guard(plan: DataFrame, files: DataFrame, force: bool = False) -> None:
         raise RuntimeError(f"{n} of {total} rows would be removed; force it if that is meant")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``new`` replaces rows of equal keys; columns that it lacks become null.  Its last row of a key wins by column order."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """``new`` replaces rows of equal keys; columns that it lacks become null.
+
+    Of new rows with equal keys the one with the greatest ``order`` wins, among
+    those (or without an order) the one whose other columns compare greatest.
+    """
+    others = [c for c in new.columns if c not in keys]
+    rank = [order, *(c for c in others if c != order)] if order else others
+    if rank:
+        last = new.groupBy(*keys).agg(F.max(F.struct(*rank)).alias("_last")).select(*keys, "_last.*").select(*new.columns)
+    else:
+        last = new.distinct()
+    return old.join(last.select(*keys), keys, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
 def replace_by_hash(faces: DataFrame, hash_value: str, new: DataFrame) -> DataFrame:

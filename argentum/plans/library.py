@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-import os
+import logging
 import uuid
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from argentum.operators import classify as classify_ops
 from argentum.operators import clustering, duplicates, faces, pending, places, search, stats, vectors
 from argentum.operators.selection import Selection, expand_date, normalise_bound
+from argentum.plans.config import load_config, resolve_home, resolve_library
 from argentum.schemas import SCHEMAS, empty, evolve
+from argentum.storage import materialize
+from argentum.streaming import ledger
+
+log = logging.getLogger(__name__)
 
 DEFAULT_MODEL = "google/siglip-base-patch16-224"
 
@@ -48,7 +54,9 @@ class Library:
     def table(self, name: str) -> DataFrame:
         """A table, empty if the library has none."""
         if name not in self._tables:
-            path = self.home and f"{self.home.rstrip('/')}/{name}"
+            path = self.home and self._table_paths(name)[0]
+            if path:
+                self._recover(name)
             there = path and self._exists(path)
             self._tables[name] = evolve(self.spark.read.parquet(path), name) if there else empty(self.spark, name)
         return self._tables[name]
@@ -67,18 +75,48 @@ class Library:
         return fs.exists(p)
 
     def write(self, name: str, df: DataFrame) -> None:
-        """Replace a table: written beside the old one, then renamed over it."""
-        to = f"{self.home.rstrip('/')}/{name}"
+        """Replace a table: written beside the old one, which moves away, and is deleted once the new one stands."""
+        to, old = self._table_paths(name)
         new = f"{to}.new-{uuid.uuid4().hex[:8]}"
         writer = df.write.partitionBy("model_id") if name in ("embeddings", "classifications") else df.write
         writer.parquet(new)
-        p, fs = self._path(to)
-        fs.delete(p, True)
-        fs.rename(self._path(new)[0], p)
+        self._recover(name)
+        if self._exists(to):
+            self._delete(old)
+            self._move(to, old)
+        self._move(new, to)
+        self._delete(old)
         self._tables.pop(name, None)
 
-    def upsert(self, name: str, new: DataFrame, keys: list[str]) -> None:
-        self.write(name, pending.upsert(self.table(name), new, keys))
+    def _table_paths(self, name: str) -> tuple[str, str]:
+        to = f"{self.home.rstrip('/')}/{name}"
+        return to, f"{to}.old"
+
+    def _recover(self, name: str) -> None:
+        """Put back the table that a replacement moved away before it broke off."""
+        to, old = self._table_paths(name)
+        if not self._exists(to) and self._exists(old):
+            self._move(old, to)
+
+    def _move(self, a: str, b: str) -> None:
+        p, fs = self._path(a)
+        if not fs.rename(p, self._path(b)[0]):
+            raise RuntimeError(f"could not move {a} to {b}")
+
+    def _delete(self, path: str) -> None:
+        p, fs = self._path(path)
+        fs.delete(p, True)
+
+    def upsert(self, name: str, new: DataFrame, keys: list[str], order: str | None = None) -> None:
+        self.write(name, pending.upsert(self.table(name), new, keys, order))
+
+    @property
+    def configured_model(self) -> str | None:
+        return self._model
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """An intermediate table, written so that later writes to the library don't change it."""
+        return materialize(df, name)
 
     def views(self) -> None:
         """Every table as a temporary view, for SQL."""
@@ -131,6 +169,14 @@ class Library:
     def stats(self) -> DataFrame:
         return stats.totals(self.file_hashes, self.faces, self.people)
 
+    def report(self, types: int = 12) -> DataFrame:
+        """(section, name, n): files, types, vectors by model, and every command's state."""
+        name = lambda *cols: F.concat_ws(" ", *cols).alias("name")
+        rows = self.file_hashes.agg(F.count("*").alias("n")).select(F.lit("files").alias("section"), F.lit("").alias("name"), "n")
+        rows = rows.union(stats.by_type(self.file_hashes, types).select(F.lit("type"), name("ext", "mime"), "files"))
+        rows = rows.union(stats.counts_by_model(self.embeddings).select(F.lit("model"), "model_id", "vectors"))
+        return rows.union(ledger.status(self.pipeline_runs).select(F.lit("command"), name("command", "state"), F.lit(1).cast("bigint")))
+
     def find_duplicates(self, include_similar: bool = False) -> DataFrame:
         return duplicates.duplicates_json(self.file_hashes, include_similar)
 
@@ -140,7 +186,7 @@ class Library:
     # --- jobs ------------------------------------------------------------
 
     def run_clustering(self, **options) -> DataFrame:
-        assigned = clustering.cluster_with_quality_gate(self.faces, **options)
+        assigned = self.keep(clustering.cluster_with_quality_gate(self.faces, **options), "assigned")
         self.write("faces", faces.update_cluster_assignments(self.faces, assigned))
         return clustering.clustering_result(assigned)
 
@@ -151,12 +197,12 @@ class Library:
         return self.location_clusters
 
     def run_classify(self, prompts: dict[str, list[float]], margin: float = 0.05, reprocess: bool = False, model: str | None = None) -> DataFrame:
-        new = classify_ops.classify_job(self.file_hashes, self.embeddings, self.classifications, self.model(model), prompts, margin, reprocess)
+        new = self.keep(classify_ops.classify_job(self.file_hashes, self.embeddings, self.classifications, self.model(model), prompts, margin, reprocess), "classified")
         self.upsert("classifications", new, ["model_id", "hash"])
         return new
 
     def run_embed(self, embed, model: str | None = None, batch: int = 96) -> DataFrame:
-        new = classify_ops.embed_job(self.file_hashes, self.embeddings, resolve_model(model, self._model), embed, batch)
+        new = self.keep(classify_ops.embed_job(self.file_hashes, self.embeddings, resolve_model(model, self._model), embed, batch), "embedded")
         self.upsert("embeddings", new, ["model_id", "hash"])
         return new
 
@@ -164,10 +210,12 @@ class Library:
         return search.similar(self.embeddings, self.model(model), item, k)
 
 
-def open_home(spark: SparkSession, explicit: str | None = None, configured: str | None = None) -> Library:
-    """The library at an explicit folder, else the environment's, else the configured one."""
-    home = explicit or os.environ.get("ARGENTUM_HOME") or configured or os.path.expanduser("~/.argentum")
-    return Library(spark, home=home)
+def open_home(spark: SparkSession, explicit: str | None = None) -> Library:
+    """The library at an explicit folder, else at the environment's home, the configured folder or the home, with the configured model."""
+    home, passed_over = resolve_library(explicit)
+    if passed_over:
+        log.warning("the environment names %s; the configured library %s is not used", home, passed_over)
+    return Library(spark, home=home, model=load_config(resolve_home()[0]).default_model)
 
 
 __all__ = ["Library", "QueryEmbedder", "open_home", "resolve_model", "validate_model", "image_size", "vectors"]

@@ -44,6 +44,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
         return
 
 
+def folders_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none where there is no such folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+
+
 def write_table(df: DataFrame, name: str) -> str:
     """Write ``df`` below the shared folder; returns its path."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:8]}"
