@@ -33,6 +33,11 @@ def hashing_embedder(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
+def stand_in(model: str, kind: str) -> Callable[[list[str]], np.ndarray]:
+    """An embedder for the command line that needs no weights; images and texts share no meaning."""
+    return hashing_embedder()
+
+
 def verify_batch(embed, items: list[str], got: np.ndarray) -> None:
     """A large batch's first result must agree with the same input alone."""
     if len(items) >= CHECKED_BATCH:

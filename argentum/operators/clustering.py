@@ -9,17 +9,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from argentum.functions import columns as C
 from argentum.storage import materialize
 
 from .components import components
+from .numbering import numbered
 from .vectors import cosine_edges, normalized_mean
 
-#: A component of places holds its distances as one matrix; larger ones are refused rather than cut.
-MOST_MEMBERS = 20_000
+#: Bytes that the rows of clusters of places may take while a component is clustered.
+KEPT_BYTES = 512 << 20
 #: Numbers in one block of a product of vectors.
 BLOCK_NUMBERS = 1 << 22
 # Similarity at which centroids merge, linkage that vetoes a merge, and the quality gate.
@@ -55,9 +56,92 @@ def agglomerate(distance: np.ndarray, limit: float) -> np.ndarray:
     return owner
 
 
-def _too_large(n: int) -> None:
-    if n > MOST_MEMBERS:
-        raise ValueError(f"a component of {n} members exceeds {MOST_MEMBERS}: lower the distance limit")
+def agglomerate_places(lat: np.ndarray, lon: np.ndarray, limit: float, kept_bytes: int = KEPT_BYTES) -> np.ndarray:
+    """What ``agglomerate`` gives for great-circle kilometres between points in degrees, without a matrix of them.
+
+    A cluster's row, the sum of its members' distances to every point, gives its
+    average distance to all clusters by one sum over each cluster's points.  Rows
+    are worked out when a chain of nearest neighbours asks for them; those of the
+    largest clusters, which cost most, are kept within ``kept_bytes``, and the row
+    of a merged cluster is the sum of its parts' where both are kept.
+    """
+    n = len(lat)
+    a, b = np.radians(lat), np.radians(lon)
+    unit = np.stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)], 1)
+    name, parent = np.arange(n), np.arange(n)
+    owner, size, left = np.arange(n), np.ones(n), n  # by place in the compacted table
+    members = {i: np.array([i]) for i in range(n)}
+    near, gap, gone = np.full(n, -1), np.full(n, np.inf), np.zeros(n, bool)
+    kept: dict[int, np.ndarray] = {}
+
+    def row(i: int) -> np.ndarray:
+        if i in kept:
+            return kept[i]
+        total = np.zeros(len(unit))
+        for k in members[i]:
+            chord = ((unit - unit[k]) ** 2).sum(1)
+            total += np.arcsin(np.sqrt(np.minimum(1.0, chord / 4)))
+        keep(i, 2 * C.EARTH_KM * total)
+        return kept.get(i, 2 * C.EARTH_KM * total)
+
+    def keep(i: int, total: np.ndarray) -> None:
+        kept[i] = total
+        while len(kept) > 1 and len(kept) * total.nbytes > kept_bytes:
+            del kept[min(kept, key=lambda c: (size[c], c == i))]
+
+    first, chain = 0, []
+    while left > 1:
+        if 10 * left < 7 * len(size):  # drop the clusters that are done, and their points
+            alive = np.flatnonzero(~gone)
+            to = np.full(len(size) + 1, -1)
+            to[alive] = np.arange(len(alive))
+            points = np.flatnonzero(to[owner] >= 0)
+            moved = np.full(len(unit), -1)
+            moved[points] = np.arange(len(points))
+            unit, owner = unit[points], to[owner[points]]
+            members = {int(to[c]): moved[m] for c, m in members.items() if to[c] >= 0}
+            kept = {int(to[c]): r[points] for c, r in kept.items() if to[c] >= 0}
+            size, name, gap, gone, near = size[alive], name[alive], gap[alive], gone[alive], to[near[alive]]
+            chain, first = to[chain].tolist() if chain else [], 0
+        if not chain:
+            while gone[first]:
+                first += 1
+            chain.append(first)
+        i = chain[-1]
+        if near[i] < 0:
+            d = np.bincount(owner, row(i), len(size)) / (size[i] * size)
+            d[i] = np.inf
+            d[gone] = np.inf
+            near[i] = d.argmin()
+            gap[i] = d[near[i]]
+        if not gap[i] <= limit:
+            gone[i], left = True, left - 1
+            near[near == i] = -1
+            kept.pop(i, None)
+            chain.pop()
+            continue
+        j = int(near[i])
+        if j not in chain:
+            chain.append(j)
+            continue
+        j = chain[-2]
+        del chain[-2:]
+        i, j = (i, j) if name[i] < name[j] else (j, i)
+        both = row(i) + row(j) if i in kept and j in kept else None
+        kept.pop(i, None), kept.pop(j, None)
+        owner[members[j]] = i
+        members[i] = np.concatenate([members[i], members.pop(j)])
+        size[i] += size[j]
+        size[j] = 1  # no division by zero; it is gone
+        if both is not None:
+            keep(i, both)
+        parent[name[j]] = name[i]
+        gone[j], left = True, left - 1
+        near[(near == i) | (near == j)] = -1
+        near[i] = -1
+    for k in range(n):  # a parent is smaller than its children
+        parent[k] = parent[parent[k]]
+    return parent
 
 
 def agglomerate_vectors(vectors: np.ndarray, limit: float) -> np.ndarray:
@@ -213,8 +297,8 @@ def merge_by_centroid(clusters: DataFrame, points: DataFrame, min_samples: int,
 def label_clusters(assigned: DataFrame, min_samples: int) -> DataFrame:
     """(id, cluster_id): numbers from 0 in order of the smallest member, null below ``min_samples``."""
     sized = assigned.groupBy("cluster").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= min_samples)
-    numbered = sized.select("cluster", (F.row_number().over(Window.orderBy("first")) - 1).cast("bigint").alias("cluster_id"))
-    return assigned.join(numbered, "cluster", "left").select("id", "cluster_id")
+    names = numbered(sized.select("cluster", "first"), ["first"], "cluster_id").select("cluster", "cluster_id")
+    return assigned.join(names, "cluster", "left").select("id", "cluster_id")
 
 
 def cluster_faces(rows: DataFrame, eps: float = 0.6, min_samples: int = 3, similarity: float = MERGE_SIMILARITY) -> DataFrame:

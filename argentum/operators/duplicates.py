@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from argentum.functions import columns as C
 from argentum.storage import materialize
 
-THRESHOLD, BITS = 10, 64
+THRESHOLD = 10
 
 
 def duplicate_files(files: DataFrame) -> DataFrame:
@@ -20,7 +22,10 @@ def duplicate_files(files: DataFrame) -> DataFrame:
 
 
 def losers(files: DataFrame) -> DataFrame:
-    return duplicate_files(files).where("rn > 1").select("path")
+    """Paths that could go: all but the first file by date and path of each repeated content, without ranking its files."""
+    when = C.best_date(F.col("exif_date"), F.col("created_at"), F.col("modified_at"))
+    kept = files.groupBy("hash").agg(F.count("*").alias("n"), F.min_by("path", F.struct(when, "path")).alias("kept")).where("n > 1")
+    return files.join(kept, "hash").where("path <> kept").select("path")
 
 
 def duplicate_groups(files: DataFrame) -> DataFrame:
@@ -42,19 +47,37 @@ def sort_groups(files: DataFrame, by: str) -> DataFrame:
     return rows.orderBy(order, "hash")
 
 
-def band_pairs(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(u, v, bits) of fingerprints within the threshold, u first in order.
+#: Bands of a fingerprint, and bits of a band.
+BANDS, BAND_BITS = 4, 16
+
+
+def _masks(flips: int) -> list[int]:
+    """All changes of up to so many bits of a band."""
+    return [sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(BAND_BITS), n)]
+
+
+def probes(prints: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(asking, answering) rows by band and part, whose equi-join holds all pairs within the threshold.
 
-    64 bits cut into threshold + 1 bands: threshold flips leave a band untouched, so
-    every such pair meets in some band's equi-join.
+    Of four bands one has at most a quarter of the flips, rounded down.  So one side
+    asks for each band's part with every such change, the other answers with its
+    parts alone: a pair of unrelated fingerprints meets with a chance under one in a
+    hundred at ten flips.
     """
-    n = threshold + 1
-    cuts = [BITS * k // n for k in range(n + 1)]
-    bands = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.shiftleft("phash", BITS - cuts[k + 1]), BITS - cuts[k + 1] + cuts[k]).alias("part")) for k in range(n)))
-    rows = prints.select("phash", "pos", F.explode(bands).alias("b")).select("phash", "pos", "b.band", "b.part")
-    a, b = rows.select("band", "part", F.col("phash").alias("p"), F.col("pos").alias("u")), rows.select("band", "part", F.col("phash").alias("q"), F.col("pos").alias("v"))
-    pairs = a.join(b, ["band", "part"]).where("u < v").select("u", "v", C.hamming(F.col("p"), F.col("q")).alias("bits"))
-    return pairs.where(F.col("bits") <= threshold).distinct()
+    parts = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("phash", BAND_BITS * k).bitwiseAND(F.lit((1 << BAND_BITS) - 1)).alias("part")) for k in range(BANDS)))
+    rows = prints.select("phash", "pos", F.explode(parts).alias("b")).select("b.band", "b.part", "phash", "pos")
+    asking = rows.withColumn("mask", F.explode(F.array(*(F.lit(m).cast("bigint") for m in _masks(threshold // BANDS)))))
+    return asking.select("band", F.col("part").bitwiseXOR(F.col("mask")).alias("part"), F.col("phash").alias("p"), F.col("pos").alias("u")), rows.select("band", "part", F.col("phash").alias("q"), F.col("pos").alias("v"))
+
+
+def band_pairs(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(u, v, bits) of fingerprints within the threshold, u first in order; each pair from the first band that brings it."""
+    asking, answering = probes(prints, threshold)
+    flips = F.col("p").bitwiseXOR(F.col("q"))
+    in_band = lambda k: F.bit_count(F.shiftrightunsigned(flips, BAND_BITS * k).bitwiseAND(F.lit((1 << BAND_BITS) - 1)))
+    first = F.coalesce(*(F.when(in_band(k) <= threshold // BANDS, F.lit(k)) for k in range(BANDS)))
+    met = asking.join(answering, ["band", "part"]).where((F.col("u") < F.col("v")) & (F.col("band") == first))
+    return met.select("u", "v", C.hamming(F.col("p"), F.col("q")).alias("bits")).where(F.col("bits") <= threshold)
 
 
 def similar_groups(files: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -100,6 +123,17 @@ def duplicates_json(files: DataFrame, include_similar: bool = False) -> DataFram
     return out.select(F.to_json(F.struct(*parts)).alias("document"))
 
 
+def group_documents(files: DataFrame) -> DataFrame:
+    """(document): each group of equal content as JSON, a row each, in order of content."""
+    return duplicate_groups(files).orderBy("hash").select(F.to_json(F.struct("hash", "keep", "remove")).alias("document"))
+
+
+def similar_documents(files: DataFrame) -> DataFrame:
+    """(document): each group of look-alikes as JSON, a row each, in order of leaders."""
+    groups = similar_groups(files).groupBy("leader").agg(F.sort_array(F.collect_list("path")).alias("files"))
+    return groups.orderBy("leader").select(F.to_json(F.struct("leader", "files")).alias("document"))
+
+
 def group_json(files: DataFrame) -> DataFrame:
     """(hash, document): each group's waste, kept date and files as JSON."""
     rows = duplicate_files(files).groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("rn", "path", "size_bytes", "best_date"))).alias("m"))

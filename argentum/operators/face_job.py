@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from argentum.functions import imaging
 
+from .numbering import numbered
+
 _KIND = "hash string, path string, bbox string, score double, landmark string, embedding array<float>, error string"
 
 
@@ -48,11 +50,8 @@ def detect_faces(todo: DataFrame, load: Callable[[str], np.ndarray], detect: Cal
 
 def faces_of(detected: DataFrame, first_id: int = 1) -> DataFrame:
     """Rows for the faces table, numbered in order of content and box."""
-    from pyspark.sql import Window
-
-    rows = detected.where("bbox IS NOT NULL")
-    number = F.row_number().over(Window.orderBy("hash", "bbox", "landmark")) + (first_id - 1)
-    return rows.select(number.cast("bigint").alias("id"), "hash", "bbox", "landmark", "embedding")
+    rows = detected.where("bbox IS NOT NULL").select("hash", "bbox", "landmark", "embedding")
+    return numbered(rows, ["hash", "bbox", "landmark"], "id", first_id).select("id", "hash", "bbox", "landmark", "embedding")
 
 
 def scanned_of(detected: DataFrame) -> DataFrame:

@@ -7,14 +7,15 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from argentum.functions import columns as C
 from argentum.storage import materialize
 
-from .clustering import _too_large, agglomerate
+from .clustering import agglomerate_places
 from .components import components
+from .numbering import numbered
 
 #: A gazetteer of at most so many rows is sent to every executor.
 MOST_CITIES = 1_000_000
@@ -52,12 +53,8 @@ def cluster_by_distance(points: DataFrame, km: float) -> DataFrame:
     labels = components(near_pairs(points, km).select("u", "v"))
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        _too_large(len(pdf))
         pdf = pdf.sort_values(["lat", "lon"]).reset_index(drop=True)
-        lat, lon = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lon"].to_numpy())
-        a = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat)[:, None] * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
-        a = np.clip(a, 0, 1)
-        owner = agglomerate(2 * C.EARTH_KM * np.arctan2(np.sqrt(a), np.sqrt(1 - a)), km)
+        owner = agglomerate_places(pdf["lat"].to_numpy(), pdf["lon"].to_numpy(), km)
         return pdf[["id", "lat", "lon"]].assign(cluster=pdf["id"].to_numpy()[owner])
 
     joined = points.join(labels, "id").groupBy("label").applyInPandas(cluster, "id bigint, lat double, lon double, cluster bigint")
@@ -105,8 +102,7 @@ def location_clusters(files: DataFrame, gazetteer: DataFrame, km: float = 50.0)
     at = files.where("gps_lat IS NOT NULL AND gps_lon IS NOT NULL").select("path", F.col("gps_lat").alias("lat"), F.col("gps_lon").alias("lon"))
     placed = at.join(members, ["lat", "lon"]).select("path", "cluster")
     counted = centres.join(placed.groupBy("cluster").agg(F.count("*").alias("photo_count")), "cluster")
-    numbered = counted.withColumn("id", F.row_number().over(Window.orderBy("centroid_lat", "centroid_lon")).cast("bigint"))
-    named = nearest_city(numbered, gazetteer, "centroid_lat", "centroid_lon").withColumnRenamed("city", "name").withColumn("radius_km", F.lit(float(km)))
+    named = nearest_city(numbered(counted, ["centroid_lat", "centroid_lon"], "id", 1), gazetteer, "centroid_lat", "centroid_lon").withColumnRenamed("city", "name").withColumn("radius_km", F.lit(float(km)))
     clusters = materialize(named.select("id", "cluster", "centroid_lat", "centroid_lon", "name", "photo_count", "radius_km"), "location-clusters")
     return clusters.drop("cluster").orderBy(F.desc("photo_count"), "id"), placed.join(clusters.select("cluster", "id"), "cluster").select("path", F.col("id").alias("location_cluster_id"))
 

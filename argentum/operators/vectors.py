@@ -71,10 +71,10 @@ def cosine_edges(rows: DataFrame, eps: float, key: str = "id", vector: str = "em
 
 # The categories and what an image of each is said to be.
 PROMPTS = {
-    "photo": "a photograph taken with a camera",
-    "screenshot": "a screenshot of a computer or phone screen",
-    "document": "a scanned document or page of text",
-    "meme": "a meme image with caption text",
+    "photo": "a photo of a person, place, or thing",
+    "screenshot": "a screenshot of a phone or computer screen",
+    "document": "a photo of a document, receipt, or piece of paper",
+    "meme": "a meme image with text captions overlaid on a picture",
 }
 
 
