@@ -98,6 +98,10 @@ def under(path: Column, roots: list[str]) -> Column:
     return reduce(lambda a, b: a | b, map(below, roots), F.lit(False))
 
 
+def parent_folder(path: str) -> Column:
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
 def sniff(content: Column) -> Column:
     """MIME type from the first twelve bytes, or null; shorter contents are unknown."""
     head = F.hex(F.substring(content, 1, 12))

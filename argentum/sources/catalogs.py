@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 CATALOG_TABLES = {"AgLibraryFile": ["id_local", "folder"], "AgLibraryFolder": ["id_local", "rootFolder", "pathFromRoot"], "AgLibraryRootFolder": ["id_local", "absolutePath"]}
 
 
-def find_catalog(folder: str) -> str | None:
-    """The first catalog of a folder by name."""
-    names = sorted(n for n in os.listdir(folder) if n.endswith(".lrcat"))
-    return os.path.join(folder, names[0]) if names else None
+def find_catalog(path: str) -> str | None:
+    """The catalog itself, or a folder's first catalog by name."""
+    if path.endswith(".lrcat"):
+        return path if os.path.isfile(path) else None
+    names = sorted(n for n in os.listdir(path) if n.endswith(".lrcat")) if os.path.isdir(path) else []
+    return os.path.join(path, names[0]) if names else None
 
 
 def catalog_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -72,22 +74,36 @@ def has_hex_fanout(path: str) -> bool:
     return len(hexes) >= 8 and len(hexes) * 2 > len(names)
 
 
+# Names by which libraries and exports are told.
+ORIGINALS = ["originals", "Masters", "Originals"]
+PHOTOS_DATABASE, PACKAGE, EXPORTS, SIDECAR_MARK = "database/Photos.sqlite", ".photoslibrary", ["Google Photos", "Takeout/Google Photos"], ".supplemental-metadat"
+
+
 def is_apple_photos(path: str) -> bool:
-    return path.rstrip("/").endswith(".photoslibrary") or any(has_hex_fanout(os.path.join(path, n)) for n in _folders(path) if n.lower() in ("originals", "masters"))
+    """A package by name, a database beside originals, or a fan-out of originals, be it the folder itself."""
+    inside = lambda name: os.path.isdir(os.path.join(path, name))
+    complete = os.path.exists(os.path.join(path, PHOTOS_DATABASE)) and any(map(inside, ORIGINALS))
+    older = inside("Masters") and inside("Database")
+    return path.rstrip("/").endswith(PACKAGE) or complete or older or any(has_hex_fanout(os.path.join(path, n)) for n in ("", *ORIGINALS))
 
 
 def is_lightroom(path: str) -> bool:
-    return os.path.isdir(path) and find_catalog(path) is not None
+    """A catalog, or a folder that holds one."""
+    return path.endswith(".lrcat") or find_catalog(path) is not None
 
 
-def is_takeout(path: str) -> bool:
-    def sidecars(p):
-        try:
-            return any(n.endswith(".supplemental-metadata.json") for n in os.listdir(p))
-        except OSError:
-            return False
+def has_sidecars(path: str) -> bool:
+    try:
+        return any(SIDECAR_MARK in n for n in os.listdir(path))
+    except OSError:
+        return False
 
-    return any(map(sidecars, [path, *(os.path.join(path, n) for n in _folders(path)[:64])]))
+
+def is_takeout(path: str) -> bool:
+    """An export's folder, or sidecars in the folder or in one of its first 64 folders."""
+    if any(os.path.isdir(os.path.join(path, n)) for n in EXPORTS):
+        return True
+    return any(map(has_sidecars, [path, *(os.path.join(path, n) for n in _folders(path)[:64])]))
 
 
 #: Providers in the order in which they are tried.

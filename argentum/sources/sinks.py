@@ -26,6 +26,17 @@ def error_document(message: str) -> str:
     return json.dumps({"error": {"message": message}}, ensure_ascii=False)
 
 
+def frame(out, fields: dict, arrays: dict[str, DataFrame]) -> None:
+    """Write one JSON document to a stream: fields, then arrays whose items are the rows of (document), one at a time."""
+    out.write(envelope(fields)[:-1])
+    for name, rows in arrays.items():
+        out.write(f', {json.dumps(name)}: [')
+        for i, r in enumerate(rows.toLocalIterator()):
+            out.write(("," if i else "") + "\n" + r["document"])
+        out.write("]")
+    out.write("}\n")
+
+
 def geojson(clusters: DataFrame) -> DataFrame:
     """One row: a FeatureCollection of points, longitude first."""
     point = F.struct(F.lit("Point").alias("type"), F.array("centroid_lon", "centroid_lat").alias("coordinates"))
@@ -74,16 +85,16 @@ def fix_dates_plan(files: DataFrame) -> DataFrame:
     return files.where(C.is_real_date(F.col("exif_date")) & strict).select("path", F.col("exif_date").alias("taken"))
 
 
-def apply_dates(plan: DataFrame) -> DataFrame:
-    """Sets modification times in local time; (path, outcome): set, skipped (no such file) or error."""
+def _set_times(plan: DataFrame, seconds) -> DataFrame:
+    """(path, outcome): set, skipped (no such file) or error; ``seconds`` turns a row's ``taken`` into an epoch time."""
 
     def run(batches):
         for pdf in batches:
             out = []
-            for r in pdf.itertuples(index=False):
+            for path, taken in zip(pdf["path"], pdf["taken"]):
                 try:
-                    at = datetime.strptime(r.taken, "%Y-%m-%dT%H:%M:%S").timestamp()
-                    os.utime(r.path, (at, at))
+                    at = seconds(taken)
+                    os.utime(path, (at, at))
                     out.append("set")
                 except FileNotFoundError:
                     out.append("skipped")
@@ -94,6 +105,16 @@ def apply_dates(plan: DataFrame) -> DataFrame:
     return plan.select("path", "taken").mapInPandas(run, "path string, outcome string")
 
 
+def apply_dates(plan: DataFrame) -> DataFrame:
+    """Sets modification times from dates in local time."""
+    return _set_times(plan, lambda taken: datetime.strptime(taken, "%Y-%m-%dT%H:%M:%S").timestamp())
+
+
+def apply_times(plan: DataFrame) -> DataFrame:
+    """Sets modification times from epoch seconds."""
+    return _set_times(plan, float)
+
+
 def disk_usage(parts: dict[str, tuple[str, bool]]) -> list[tuple[str, int, bool]]:
     """(component, bytes, rebuildable) of named folders, largest first."""
 
