@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from argentum.functions import columns as C
 from argentum.operators import duplicates, faces, pending, places, stats, vectors
 from argentum.sources import takeout
+from argentum.storage import materialize
 from argentum.streaming import ledger
 
 from .registry import BEST, STATS_PHOTO, STATS_VIDEO, query
@@ -70,14 +71,34 @@ def by_waste(lib):
     return duplicates.groups_by_waste(lib.file_hashes).withColumn("remove", F.concat_ws(";", "remove"))
 
 
-@query("a10_similar_groups")
+# The greedy leader rule as it reads: fingerprints in path order, each claimed by the first leader within ten bits, or else a leader itself.
+_LEADERS = """WITH RECURSIVE prints AS (SELECT phash, min(path) AS pos, row_number() OVER (ORDER BY min(path)) AS k FROM file_hashes WHERE phash IS NOT NULL GROUP BY phash),
+walk(k, leaders, p, leader) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(p BIGINT, pos VARCHAR)[]), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR)
+  UNION ALL
+  SELECT k, CASE WHEN hit IS NULL THEN list_append(leaders, struct_pack(p := phash, pos := pos)) ELSE leaders END, phash, coalesce(hit, pos) FROM (
+    SELECT prints.k, prints.phash, prints.pos, leaders, list_filter(leaders, lambda l: bit_count(xor(l.p, prints.phash)) <= 10)[1].pos AS hit FROM walk JOIN prints ON prints.k = walk.k + 1)),
+led AS (SELECT leader, path FROM file_hashes JOIN walk ON phash = p WHERE leader IS NOT NULL),
+alike AS (SELECT leader, path FROM led WHERE leader IN (SELECT leader FROM led GROUP BY leader HAVING count(*) > 1))
+"""
+
+
+@query("a10_similar_groups", _LEADERS + "SELECT leader, path FROM alike")
 def similar_groups(lib):
     return duplicates.similar_groups(lib.file_hashes)
 
 
-@query("a11_duplicates_json")
+@query("a11_duplicates_json", _LEADERS + f"SELECT 'duplicate' AS kind, hash AS of, path FROM ({_RANKED}) r WHERE n > 1 AND rn > 1 UNION ALL SELECT 'kept', hash, path FROM ({_RANKED}) r WHERE n > 1 AND rn = 1 UNION ALL SELECT 'similar', leader, path FROM alike UNION ALL SELECT 'files', CAST(count(*) AS VARCHAR), NULL FROM file_hashes")
 def duplicates_json(lib):
-    return lib.find_duplicates(include_similar=True)
+    """The whole document, taken apart again."""
+    j = F.from_json("document", "total_files bigint, duplicate_groups array<struct<hash:string,keep:string,remove:array<string>>>, similar_groups array<struct<leader:string,files:array<string>>>")
+    doc = materialize(lib.find_duplicates(include_similar=True).select(j.alias("j")).select("j.*"), "document")
+    groups = doc.select(F.explode("duplicate_groups").alias("g")).select("g.*")
+    alike = doc.select(F.explode("similar_groups").alias("g")).select("g.*")
+    kind = lambda name, *cols: (F.lit(name).alias("kind"), *cols)
+    out = groups.select(*kind("duplicate", F.col("hash").alias("of"), F.explode("remove").alias("path")))
+    out = out.union(groups.select(*kind("kept", "hash", "keep"))).union(alike.select(*kind("similar", "leader", F.explode("files"))))
+    return out.union(doc.select(*kind("files", F.col("total_files").cast("string"), F.lit(None).cast("string"))))
 
 
 @query("a12_tool_stats", "SELECT count(*) AS total_files, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, count(DISTINCT hash) AS unique_files, count(*) FILTER (WHERE gps_lat IS NOT NULL) AS with_gps, min(exif_date) FILTER (WHERE exif_date NOT LIKE '0000%') AS earliest, max(exif_date) FILTER (WHERE exif_date NOT LIKE '0000%') AS latest, (SELECT count(*) FROM emb) AS embeddings FROM file_hashes")

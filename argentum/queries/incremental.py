@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from argentum.operators import faces, pending
 from argentum.sources.catalogs import PROVIDERS
-from argentum.storage import scratch_dir, table
+from argentum.storage import folders_in, scratch_dir, table
 from argentum.streaming import ledger, watch
 
 from .registry import EFF, EFF_MIME, VIDEO, query, raw_query
@@ -30,13 +30,28 @@ def watched(spark, sf_dir):
     return spark.read.parquet(f"{base}/table").groupBy("conv_id").agg(F.max("turn").alias("turns"), F.count("*").alias("n"))
 
 
-@query("t02_cycle", "SELECT * FROM (VALUES ('scan', 'failed: boom'), ('faces', 'ok')) t(stage, outcome)")
+@query("t02_cycle", "SELECT stage, cycle, outcome, CASE WHEN n = 'even' THEN (SELECT count(*) FROM file_hashes WHERE size_bytes % 2 = 0) WHEN n = 'all' THEN (SELECT count(*) FROM file_hashes) ELSE 0 END AS stored FROM (VALUES ('scan', 1, 'ok', 'even'), ('faces', 1, 'failed: boom', 'none'), ('scan', 2, 'ok', 'all'), ('faces', 2, 'ok', 'all')) t(stage, cycle, outcome, n)")
 def cycle(lib):
-    def boom(batch, i):
-        raise RuntimeError("boom")
-
-    got = watch.run_cycle(lib.file_hashes, 0, [("scan", boom), ("faces", lambda b, i: None)])
-    return lib.spark.createDataFrame(list(got.items()), "stage string, outcome string")
+    """Two batches; a stage that fails on the first has both after the second cycle."""
+    base = f"{scratch_dir(lib.spark)}/cycle-{uuid.uuid4().hex[:8]}"
+    broken = [True]
+
+    def store(name):
+        def stage(batch, batch_id):
+            if name == "faces" and broken:
+                broken.pop()
+                raise RuntimeError("boom")
+            batch.select("path").write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
+
+        return stage
+
+    rows = []
+    for i in (0, 1):
+        got = watch.run_cycle(lib.file_hashes.where(F.col("size_bytes") % 2 == i), i, [(n, store(n)) for n in ("scan", "faces")], f"{base}/failed")
+        for name, outcome in got.items():
+            there = "batch=0" in folders_in(lib.spark, f"{base}/{name}")
+            rows.append((name, i + 1, outcome, lib.spark.read.parquet(f"{base}/{name}").count() if there else 0))
+    return lib.spark.createDataFrame(rows, "stage string, cycle int, outcome string, stored bigint")
 
 
 @query("t03_scan_stage", "SELECT path, CASE WHEN ext = 'gif' THEN 'x' ELSE hash END AS hash FROM file_hashes")

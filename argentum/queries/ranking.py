@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from argentum.operators import duplicates, faces, places, search, vectors
+from argentum.operators.numbering import numbered
 from argentum.operators.selection import Selection
 
 from .registry import BEST, EFF, EFF_MIME, PHOTO, dot_sql, km_sql, query
@@ -29,10 +30,11 @@ def keep_by_best(lib):
     return search.keep_one_by_best_date(lib.file_hashes).select("hash", "path", "best_date")
 
 
-@query("w03_multi_key_sort", f"SELECT path, {EFF} AS date, size_bytes, CAST(row_number() OVER (ORDER BY size_bytes DESC NULLS LAST, {EFF} ASC NULLS LAST, path) AS INTEGER) AS pos FROM file_hashes ORDER BY pos LIMIT 100")
+@query("w03_multi_key_sort", f"SELECT path, {EFF} AS date, size_bytes, row_number() OVER (ORDER BY size_bytes DESC NULLS LAST, {EFF} ASC NULLS LAST, path) AS pos FROM file_hashes")
 def multi_key(lib):
-    hits = search.search(lib, Selection(paths=["/lib"]), sort="size,date:asc", k=100)
-    return hits.select("path", "date", "size_bytes").limit(100).withColumn("pos", F.row_number().over(_order(F.desc_nulls_last("size_bytes"), F.asc_nulls_last("date"), "path")))
+    """Every file with its place in the order."""
+    rows = search.library_rows(lib.file_hashes).select("path", "date", "size_bytes")
+    return numbered(rows, search.order_by(search.parse_sort("size,date:asc")), "pos", 1)
 
 
 def _order(*keys):
@@ -44,9 +46,12 @@ def _order(*keys):
 _GPS = f"SELECT hash, min({km_sql(48.8566, 2.3522)}) AS km FROM file_hashes WHERE gps_lat IS NOT NULL AND {km_sql(48.8566, 2.3522)} <= 400 GROUP BY hash"
 
 
-@query("w04_missing_last", "SELECT path, exif_date FROM file_hashes ORDER BY exif_date ASC NULLS LAST, path LIMIT 20 OFFSET 850")
+@query("w04_missing_last", "SELECT path, exif_date, row_number() OVER (ORDER BY exif_date ASC NULLS LAST, path) AS up, row_number() OVER (ORDER BY exif_date DESC NULLS LAST, path) AS down FROM file_hashes")
 def missing_last(lib):
-    return lib.file_hashes.select("path", "exif_date").orderBy(F.asc_nulls_last("exif_date"), "path").offset(850).limit(20)
+    """Every file's place going up and going down; missing dates are last either way."""
+    rows = lib.file_hashes.select("path", "exif_date")
+    up = numbered(rows, [F.asc_nulls_last("exif_date"), F.asc("path")], "up", 1)
+    return numbered(up, [F.desc_nulls_last("exif_date"), F.asc("path")], "down", 1)
 
 
 def _said(f) -> str:
@@ -133,7 +138,20 @@ def detail_order(lib):
     return view.select(F.col("label").alias("person_label"), F.posexplode("face_ids").alias("p", "id")).select("person_label", "id", (F.col("p") + 1).alias("pos"))
 
 
-@query("w16_non_max_suppression")
+_NMS = """WITH RECURSIVE boxes AS (SELECT id % 20 AS image, CAST(id % 300 AS DOUBLE) AS x1, CAST(id % 200 AS DOUBLE) AS y1, CAST(id % 300 + 40 + id % 120 AS DOUBLE) AS x2, CAST(id % 200 + 40 + id % 90 AS DOUBLE) AS y2, id / 1000 AS score, row_number() OVER (ORDER BY id DESC) AS k FROM faces),
+walk(k, kept, stays) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(image BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[]), false
+  UNION ALL
+  SELECT k, CASE WHEN free THEN list_append(kept, own) ELSE kept END, free FROM (
+    SELECT b.k, kept, struct_pack(image := b.image, x1 := b.x1, y1 := b.y1, x2 := b.x2, y2 := b.y2) AS own,
+      len(list_filter(kept, lambda o: o.image = b.image AND
+        greatest(0, least(o.x2, b.x2) - greatest(o.x1, b.x1)) * greatest(0, least(o.y2, b.y2) - greatest(o.y1, b.y1))
+        > 0.4 * ((o.x2 - o.x1) * (o.y2 - o.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(0, least(o.x2, b.x2) - greatest(o.x1, b.x1)) * greatest(0, least(o.y2, b.y2) - greatest(o.y1, b.y1))))) = 0 AS free
+    FROM walk JOIN boxes b ON b.k = walk.k + 1))
+SELECT image, x1, y1, x2, y2, score FROM boxes JOIN walk USING (k) WHERE stays"""
+
+
+@query("w16_non_max_suppression", _NMS)
 def nms(lib):
     from argentum.functions.columns import bbox_corners
 

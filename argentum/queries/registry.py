@@ -23,8 +23,10 @@ def query(name: str, sql: str | None = None):
     def add(f: Callable[[Library], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(library(spark, sf_dir))
         if sql is not None:
-            more = sql.lstrip()
-            ORACLE_SQL[name] = duckdb_views() + (",\n" + more[5:] if more.startswith("WITH ") else "\n" + more)
+            more, views = sql.lstrip(), duckdb_views()
+            if more.startswith("WITH RECURSIVE "):
+                more, views = "WITH " + more[15:], views.replace("WITH", "WITH RECURSIVE", 1)
+            ORACLE_SQL[name] = views + (",\n" + more[5:] if more.startswith("WITH ") else "\n" + more)
         return f
 
     return add

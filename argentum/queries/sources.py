@@ -143,11 +143,17 @@ def envelope(lib):
     return lib.spark.createDataFrame([(sinks.envelope({"total": 3}), sinks.error_document("no"))], "document string, error string")
 
 
-@query("s17_geojson", "SELECT CAST(5 AS INTEGER) AS features")
+_PLACE = "CASE WHEN gps_lat > 52.2 THEN 'Berlin, DE' WHEN gps_lat > 50 THEN 'London, GB' WHEN gps_lat > 45 THEN 'Paris, FR' WHEN gps_lon > 10 THEN 'Istanbul, TR' ELSE 'Madrid, ES' END"
+
+
+@query("s17_geojson", f"SELECT name, photo_count, round(lon, 6) AS lon, round(lat, 6) AS lat, CAST(row_number() OVER (ORDER BY photo_count DESC, lat, lon) AS INTEGER) AS pos FROM (SELECT city AS name, avg(gps_lon) AS lon, avg(gps_lat) AS lat, max(n) AS photo_count FROM (SELECT DISTINCT gps_lat, gps_lon, {_PLACE} AS city FROM file_hashes WHERE gps_lat IS NOT NULL) JOIN (SELECT {_PLACE} AS city, count(*) AS n FROM file_hashes WHERE gps_lat IS NOT NULL GROUP BY 1) USING (city) GROUP BY city)")
 def geojson(lib):
+    """Every feature of the collection: longitude first, most photos first."""
     clusters, _ = places.location_clusters(lib.file_hashes, lib.gazetteer, 50.0)
-    j = F.from_json("document", "type string, features array<struct<geometry:struct<coordinates:array<double>>>>")
-    return sinks.geojson(clusters).select(F.size(j["features"]).alias("features"))
+    j = F.from_json("document", "type string, features array<struct<geometry:struct<type:string,coordinates:array<double>>,properties:struct<name:string,photo_count:bigint>>>")
+    rows = sinks.geojson(clusters).select(F.posexplode(j["features"]).alias("pos", "f"))
+    at = F.col("f.geometry.coordinates")
+    return rows.select("f.properties.name", "f.properties.photo_count", F.round(at[0], 6).alias("lon"), F.round(at[1], 6).alias("lat"), (F.col("pos") + 1).alias("pos"))
 
 
 @query("s20_models", "SELECT DISTINCT model_id FROM emb")
@@ -176,8 +182,9 @@ def load_embeddings(lib):
     return lib.embeddings.where("model_id = 'acme/large-384'").select("hash", F.size("embedding").alias("dims"))
 
 
-@query("s23_upsert_embeddings", "SELECT model_id, hash, CASE WHEN model_id = 'acme/large-384' THEN 'again' ELSE embedded_at END AS embedded_at FROM emb")
+@query("s23_upsert_embeddings", "SELECT model_id, hash, embedded_at FROM emb WHERE model_id <> 'acme/large-384' UNION ALL SELECT DISTINCT model_id, hash, 'again' FROM emb WHERE model_id = 'acme/large-384'")
 def upsert_embeddings(lib):
+    """New rows replace old ones; of new rows with one key, which equal contents give, one stays."""
     new = lib.embeddings.where("model_id = 'acme/large-384'").withColumn("embedded_at", F.lit("again"))
     return pending.upsert(lib.embeddings, new, ["model_id", "hash"]).select("model_id", "hash", "embedded_at")
 
@@ -308,5 +315,4 @@ def hit_lines(lib):
 
 @query("s54_place_lines", "SELECT lpad(CAST(n AS VARCHAR), 6, ' ') || '  ' || city AS line FROM (SELECT CASE WHEN gps_lat > 52.2 THEN 'Berlin, DE' WHEN gps_lat > 50 THEN 'London, GB' WHEN gps_lat > 45 THEN 'Paris, FR' WHEN gps_lon > 10 THEN 'Istanbul, TR' ELSE 'Madrid, ES' END AS city, count(*) AS n FROM file_hashes WHERE gps_lat IS NOT NULL GROUP BY 1)")
 def place_lines(lib):
-    anchors = lib.gazetteer.where("name IN ('Paris', 'London', 'Berlin', 'Madrid', 'Istanbul')")
-    return places.summary_lines(places.location_clusters(lib.file_hashes, anchors, 50.0)[0]).select("line")
+    return places.summary_lines(places.location_clusters(lib.file_hashes, lib.gazetteer, 50.0)[0]).select("line")

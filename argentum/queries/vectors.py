@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from argentum.functions import columns as C
 from argentum.functions.media import dhash
 from argentum.operators import classify, clustering, places, vectors
+from argentum.operators.numbering import dealt
 from argentum.plans.library import image_size, resolve_model
 
 from .registry import dot_sql, query
@@ -15,10 +16,14 @@ from .registry import dot_sql, query
 BASE = "acme/base-224"
 
 
-@query("v01_half_floats")
+_HALF = "list_transform(embedding, lambda x: CASE WHEN x = 0 THEN 0.0 ELSE round_even(CAST(x AS DOUBLE) / pow(2, greatest(floor(log2(abs(CAST(x AS DOUBLE)))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(CAST(x AS DOUBLE)))), -14) - 10) END)"
+
+
+@query("v01_half_floats", f"SELECT id, round(list_sum(list_transform(range(1, len(h) + 1), lambda i: h[i] * i)), 5) AS s FROM (SELECT id, {_HALF} AS h FROM faces)")
 def half_floats(lib):
-    back = vectors.from_f16(vectors.to_f16(F.col("embedding")))
-    return lib.faces.select("id", F.round(F.aggregate(F.zip_with(back, "embedding", lambda a, b: F.abs(a.cast("double") - b)), F.lit(0.0), lambda a, x: F.greatest(a, x)), 3).alias("worst"))
+    """There and back, added up with each place's weight."""
+    back = F.transform(vectors.from_f16(vectors.to_f16(F.col("embedding"))), lambda x, i: x.cast("double") * (i + 1))
+    return lib.faces.select("id", F.round(F.aggregate(back, F.lit(0.0), lambda a, x: a + x), 5).alias("s"))
 
 
 @query("v02_l2_normalize", "SELECT id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3)) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3 * CAST(x AS DOUBLE) * 3))), 6) AS s FROM faces")
@@ -89,7 +94,7 @@ def by_distance(lib):
 
 @query("v13_locations", f"SELECT city AS name, round(avg(gps_lat), 6) AS lat, max(n) AS photo_count FROM (SELECT DISTINCT gps_lat, gps_lon, {_CITY} AS city FROM file_hashes WHERE gps_lat IS NOT NULL) JOIN (SELECT {_CITY} AS city, count(*) AS n FROM file_hashes WHERE gps_lat IS NOT NULL GROUP BY 1) USING (city) GROUP BY city")
 def locations(lib):
-    clusters, _ = places.location_clusters(lib.file_hashes, lib.gazetteer.where("name IN ('Paris', 'London', 'Berlin', 'Madrid', 'Istanbul')"), 50.0)
+    clusters, _ = places.location_clusters(lib.file_hashes, lib.gazetteer, 50.0)
     return clusters.select("name", F.round("centroid_lat", 6).alias("lat"), "photo_count")
 
 
@@ -134,9 +139,9 @@ def zero_shot(lib):
     return got.select("hash", "category", F.round("confidence", 6).alias("confidence"))
 
 
-@query("v19_prompts", "SELECT * FROM (VALUES ('photo'), ('screenshot'), ('document'), ('meme')) t(category)")
+@query("v19_prompts", "SELECT * FROM (VALUES ('photo', 'a photo of a person, place, or thing'), ('screenshot', 'a screenshot of a phone or computer screen'), ('document', 'a photo of a document, receipt, or piece of paper'), ('meme', 'a meme image with text captions overlaid on a picture')) t(category, caption)")
 def prompts(lib):
-    return lib.spark.createDataFrame([(n,) for n in vectors.PROMPTS], "category string")
+    return lib.spark.createDataFrame(list(vectors.PROMPTS.items()), "category string, caption string")
 
 
 @query("v20_classify_job", f"SELECT DISTINCT hash, category FROM ({_CLASSIFIED}) c WHERE hash NOT IN (SELECT hash FROM classifications) AND hash NOT IN (SELECT hash FROM file_hashes WHERE mime IN ('video/quicktime','video/mp4') OR (mime IS NULL AND lower(ext) IN ('mov','mp4')))")
@@ -179,11 +184,10 @@ def sizes(lib):
     return lib.spark.createDataFrame([(m, image_size(m)) for m in ("a/base-224", "a/base", "a/b-4096")], "model string, pixels int")
 
 
-@query("v31_round_robin", "SELECT CAST(doc_id % 4 AS INTEGER) AS worker, count(*) AS files FROM documents GROUP BY 1")
+@query("v31_round_robin", "SELECT path, CAST((row_number() OVER (ORDER BY path) - 1) % 4 AS INTEGER) AS worker FROM file_hashes")
 def round_robin(lib):
-    """Work dealt evenly: the same counts as dealing rows out in turn."""
-    n = lib.file_hashes.withColumn("i", F.regexp_extract("path", r"/(\d+)\.", 1).cast("bigint"))
-    return n.groupBy((F.col("i") % 4).cast("int").alias("worker")).agg(F.count("*").alias("files"))
+    """Files dealt out in turn, in path order."""
+    return dealt(lib.file_hashes.select("path"), ["path"], 4)
 
 
 @query("v33_model_resolution", "SELECT * FROM (VALUES ('x/y', 'x/y'), ('', 'google/siglip-base-patch16-224'), ('bad', 'ValueError')) t(asked, used)")
