@@ -20,6 +20,24 @@ from .common import cache_of, library
 _LITTLE = sys.byteorder == "little"
 
 
+class _Pieces(bpe.Memo):
+    """Ids of pieces; a plain word, spelled in the vocabulary as ``before`` and itself, takes the shortest way."""
+
+    def __init__(self, make, limit: int, tokenize, code: str, before: str):
+        super().__init__(make, limit)
+        self.tokenize, self.code, self.before, self.any_case = tokenize, code, before, bool(before)
+
+    def __missing__(self, piece):
+        value = self.old.get(piece)
+        if value is None:
+            if _LITTLE and piece.isalpha() and piece.isascii() and (self.any_case or piece.islower()):
+                value = array(self.code, [t.id for t in self.tokenize(self.before + piece)]).tobytes()
+            else:
+                value = self.make(piece)
+        self[piece] = value
+        return value
+
+
 class LibraryIds:
     """``encode(text) -> bytes``: ids of ``dtype`` without begin, end or added special tokens."""
 
@@ -30,7 +48,8 @@ class LibraryIds:
         self.model, self.alphabet = self.lib.model, bpe.byte_alphabet()
         self.space, self.marks = self.alphabet[0x20], (",", ".")
         self.words = bpe.Memo(self._pretoken, 100_000)
-        self.pieces = bpe.Memo(self._word_piece if self.word_level else self._byte_piece, 250_000 if self.word_level else 300_000)
+        make, limit, before = (self._word_piece, 250_000, "") if self.word_level else (self._byte_piece, 300_000, self.space)
+        self.pieces = _Pieces(make, limit, self.model.tokenize, self.code, before)
 
     def pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes() if _LITTLE else np.array(ids, self.dtype).tobytes()

@@ -27,13 +27,14 @@ def compress(symbols: np.ndarray, first: int, separator: int, batch: int = 4096,
     to ``batch`` pairs that occur ``least`` times or more; rounds go on until no pair
     does or the symbol type has no values left.  Only a pair with a new symbol can
     have become frequent since the last round, so a round looks at those alone; when
-    none is left, one over all pairs finds what the batches left over, if anything.
+    none is left, one over all pairs finds what the batches left over, if they did.
     """
     wide, bits = (np.uint32, 16) if symbols.dtype == np.uint16 else (np.uint64, 32)
     low = wide((1 << bits) - 1)
     room = int(np.iinfo(symbols.dtype).max) - first + 1
     rules: list[np.ndarray] = []
     made, newest = 0, None  # the smallest symbol of the last round; none for a round over all pairs
+    left_over = False  # whether a round since the last one over all pairs passed over a frequent pair
     slots = 18
     held, name = np.zeros(1 << slots, wide), np.zeros(1 << slots, symbols.dtype)
     while len(symbols) > 1 and made < room:
@@ -44,9 +45,10 @@ def compress(symbols: np.ndarray, first: int, separator: int, batch: int = 4096,
         else:
             at = _beside(symbols, newest)
             code = symbols[at].astype(wide) << wide(bits) | symbols[at + 1]
-        pairs = _frequent(code, separator, least, bits)[: min(batch, room - made)]
+        often = _frequent(code, separator, least, bits)
+        pairs = often[: min(batch, room - made)]
         if not len(pairs):
-            if newest is None:
+            if newest is None or not left_over:
                 break
             newest = None
             continue
@@ -55,6 +57,7 @@ def compress(symbols: np.ndarray, first: int, separator: int, batch: int = 4096,
         _, keep = np.unique(slot, return_index=True)
         keep.sort()
         pairs, slot = pairs[keep], slot[keep]
+        left_over = len(pairs) < len(often) or (left_over and newest is not None)
         held[0] = np.iinfo(wide).max
         held[slot] = pairs
         name[slot] = np.arange(first + made, first + made + len(pairs)).astype(symbols.dtype)
