@@ -65,19 +65,27 @@ def probes(prints: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, Da
     hundred at ten flips.
     """
     parts = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("phash", BAND_BITS * k).bitwiseAND(F.lit((1 << BAND_BITS) - 1)).alias("part")) for k in range(BANDS)))
-    rows = prints.select("phash", "pos", F.explode(parts).alias("b")).select("b.band", "b.part", "phash", "pos")
-    asking = rows.withColumn("mask", F.explode(F.array(*(F.lit(m).cast("bigint") for m in _masks(threshold // BANDS)))))
-    return asking.select("band", F.col("part").bitwiseXOR(F.col("mask")).alias("part"), F.col("phash").alias("p"), F.col("pos").alias("u")), rows.select("band", "part", F.col("phash").alias("q"), F.col("pos").alias("v"))
+    rows = prints.select("phash").distinct().select("phash", F.explode(parts).alias("b")).select("b.band", "b.part", "phash")
+    # a small table is one partition by now; every row of it becomes hundreds
+    spark = prints.sparkSession
+    wide = rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "part")
+    asking = wide.withColumn("mask", F.explode(F.array(*(F.lit(m).cast("bigint") for m in _masks(threshold // BANDS)))))
+    return asking.select("band", F.col("part").bitwiseXOR(F.col("mask")).alias("part"), F.col("phash").alias("p")), rows.select("band", "part", F.col("phash").alias("q"))
 
 
 def band_pairs(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(u, v, bits) of fingerprints within the threshold, u first in order; each pair from the first band that brings it."""
+    """(u, v, bits) of positions whose fingerprints are within the threshold, u first in order; each pair from the first band that brings it."""
     asking, answering = probes(prints, threshold)
     flips = F.col("p").bitwiseXOR(F.col("q"))
     in_band = lambda k: F.bit_count(F.shiftrightunsigned(flips, BAND_BITS * k).bitwiseAND(F.lit((1 << BAND_BITS) - 1)))
     first = F.coalesce(*(F.when(in_band(k) <= threshold // BANDS, F.lit(k)) for k in range(BANDS)))
-    met = asking.join(answering, ["band", "part"]).where((F.col("u") < F.col("v")) & (F.col("band") == first))
-    return met.select("u", "v", C.hamming(F.col("p"), F.col("q")).alias("bits")).where(F.col("bits") <= threshold)
+    met = asking.join(answering, ["band", "part"]).where((F.col("p") < F.col("q")) & (F.bit_count(flips) <= threshold) & (F.col("band") == first))
+    # fingerprints alone meet; only pairs within the threshold look up where they stand
+    a, b = (prints.select(F.col("phash").alias(x), F.col("pos").alias(f"{x}_pos")) for x in "pq")
+    placed = met.select("p", "q").join(a, "p").join(b, "q")
+    apart = placed.select(F.least("p_pos", "q_pos").alias("u"), F.greatest("p_pos", "q_pos").alias("v"), C.hamming(F.col("p"), F.col("q")).alias("bits"))
+    c, d = (prints.select("phash", F.col("pos").alias(x)) for x in "uv")
+    return apart.union(c.join(d, "phash").where("u < v").select("u", "v", F.lit(0).alias("bits")))
 
 
 def similar_groups(files: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
