@@ -1,28 +1,37 @@
-"""Average-linkage clustering under a distance limit, per connected component.
+"""Average-linkage clustering under a distance limit, in rounds.
 
-Two clusters merge only while their average distance is within the limit, so some
-pair of their members is within it too: no cluster spans two components of the
-graph of near pairs, and components can be clustered apart from each other.
+Two clusters that are each other's nearest may merge at once, wherever the others
+are: no later merge brings a cluster nearer to them.  For the same reason a cluster
+without a neighbour within the limit is done.  So all such pairs merge in a round.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from argentum.functions import columns as C
-from argentum.storage import materialize
+from argentum.storage import drop_table, materialize
 
-from .components import components
+from .blocks import blocked, opened
 from .numbering import numbered
-from .vectors import cosine_edges, normalized_mean
+from .vectors import normalized_mean
 
 #: Bytes that the rows of clusters of places may take while a component is clustered.
 KEPT_BYTES = 512 << 20
 #: Numbers in one block of a product of vectors.
 BLOCK_NUMBERS = 1 << 22
+#: Clusters in a block of the search for nearest ones.
+BLOCK = 4096
+#: Products of a round, and clusters, up to which one task goes on without others.
+ALONE_PAIRS, ALONE_CLUSTERS = 1 << 30, 1 << 16
+#: Rounds end where this many times the clusters that merged or are done are less than those that were looked for.
+LEAST_SHARE = 16
 # Similarity at which centroids merge, linkage that vetoes a merge, and the quality gate.
 MERGE_SIMILARITY, VETO_LINKAGE, LEAST_SIDE, GENERIC_SIMILARITY = 0.35, 0.79, 80.0, 0.40
 
@@ -144,28 +153,92 @@ def agglomerate_places(lat: np.ndarray, lon: np.ndarray, limit: float, kept_byte
     return parent
 
 
-def agglomerate_vectors(vectors: np.ndarray, limit: float) -> np.ndarray:
+def nearest(rows: np.ndarray, others: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, product) of each row's largest product with ``others``, the first of equal ones; ``own`` is a place left out, or -1.
+
+    Products in single precision leave out what is behind the largest by more than
+    their error; the few others are told apart in double precision.  A row that
+    nothing is left for has place -1.
+    """
+    place, best = np.full(len(rows), -1), np.full(len(rows), -np.inf)
+    if len(others) > BLOCK:
+        for at in range(0, len(others), BLOCK):
+            here, product = nearest(rows, others[at : at + BLOCK], np.where((own >= at) & (own < at + BLOCK), own - at, -1))
+            more = product > best
+            place[more], best[more] = at + here[more], product[more]
+        return place, best
+    if not len(others):
+        return place, best
+    most, length = np.linalg.norm(others, axis=1).max(), np.linalg.norm(rows, axis=1)
+    single = length.max(initial=0.0) * most < 1e30 and most < 1e30
+    short = others.astype(np.float32) if single else None
+    step = max(1, BLOCK_NUMBERS // len(others))
+    for at in range(0, len(rows), step):
+        q, o = rows[at : at + step], own[at : at + step]
+        line = np.flatnonzero(o >= 0)
+        if single:
+            s = q.astype(np.float32) @ short.T
+            s[line, o[line]] = -np.inf
+            least = s.max(1) - ((q.shape[1] + 4) * 2.0**-23 * most * length[at : at + step] + 1e-30)
+            close = s >= np.nextafter(least.astype(np.float32), np.float32(-np.inf))[:, None]
+            if np.count_nonzero(close) <= 16 * len(q):
+                i, j = np.divmod(np.flatnonzero(close & np.isfinite(s) if np.isneginf(least).any() else close), len(others))
+                if len(i):
+                    p = np.einsum("ij,ij->i", q[i], others[j])
+                    first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+                    top = np.flatnonzero(p == np.repeat(np.maximum.reduceat(p, first), np.diff(np.append(first, len(i)))))
+                    of, k = np.unique(i[top], return_index=True)
+                    place[at + of], best[at + of] = j[top[k]], p[top[k]]
+                continue
+        s = q @ others.T
+        s[line, o[line]] = -np.inf
+        j = s.argmax(1)
+        best[at : at + step] = s[np.arange(len(q)), j]
+        place[at : at + step] = np.where(np.isneginf(best[at : at + step]), -1, j)
+    return place, best
+
+
+def agglomerate_vectors(vectors: np.ndarray, limit: float, size: np.ndarray | None = None, near: np.ndarray | None = None, gap: np.ndarray | None = None) -> np.ndarray:
     """What ``agglomerate`` gives for the distances 1 - x.y, from the clusters' means alone.
 
     The average of 1 - x.y over two clusters is 1 less the product of their means,
-    so no matrix of distances is held.  A chain of nearest neighbours ends at two
-    clusters that are each other's nearest; merging them at once gives the same
-    clusters as merging the closest pair of all, as no merge brings clusters nearer
-    to a third one.  For the same reason a cluster without a neighbour within the
-    limit is done.
+    so no matrix of distances is held.  Merging any two clusters that are each
+    other's nearest gives the same clusters as merging the closest pair of all, as
+    no merge brings clusters nearer to a third one.  So rounds merge all such pairs
+    at once, and clusters whose nearest has changed look again together.  For the
+    same reason a cluster without a neighbour within the limit is done.  Where
+    rounds find little, chains of nearest neighbours go on one search at a time,
+    of which there are never more than a few a cluster.
+
+    Vectors may be means of ``size`` vectors; ``near`` and ``gap`` say what is known
+    of their nearest ones (place, or -1 if unknown, and distance).
     """
     n = len(vectors)
-    mean, size, name = np.array(vectors, np.float64), np.ones(n), np.arange(n)
-    parent, gone = np.arange(n), np.zeros(n)  # gone: infinite where a row is no cluster any more
-    near, gap = np.full(n, -1), np.full(n, np.inf)
-    step = max(1, BLOCK_NUMBERS // max(1, n))
-    for at in range(0, n, step):
-        d = 1.0 - mean[at : at + step] @ mean.T
-        line = np.arange(len(d))
-        d[line, at + line] = np.inf
-        near[at : at + step] = d.argmin(1)
-        gap[at : at + step] = d[line, near[at : at + step]]
-    first, left, chain = 0, n, []
+    mean, name, parent = np.array(vectors, np.float64), np.arange(n), np.arange(n)
+    size = np.ones(n) if size is None else np.array(size, np.float64)
+    near, gap = (np.full(n, -1), np.full(n, np.inf)) if near is None else (np.array(near), np.array(gap, np.float64))
+    while len(mean) > 1:
+        asked = np.flatnonzero(near < 0)
+        near[asked], product = nearest(mean[asked], mean, asked)
+        gap[asked] = 1.0 - product
+        done = ~(gap <= limit)
+        line = np.arange(len(mean))
+        mutual = ~done & ~done[near] & (near[near] == line)
+        head = np.flatnonzero(mutual & (line < near))
+        tail = near[head]
+        mean[head] = (size[head, None] * mean[head] + size[tail, None] * mean[tail]) / (size[head] + size[tail])[:, None]
+        size[head] += size[tail]
+        parent[name[tail]] = name[head]
+        changed = done | mutual
+        near[changed | changed[near]] = -1
+        keep = ~done
+        keep[tail] = False
+        to = np.append(np.where(keep, np.cumsum(keep) - 1, -1), -1)
+        mean, size, name, gap, near = mean[keep], size[keep], name[keep], gap[keep], to[near[keep]]
+        if LEAST_SHARE * (np.count_nonzero(done) + len(head)) < len(asked):
+            break
+    gone = np.zeros(len(mean))  # infinite where a row is no cluster any more
+    first, left, chain = 0, len(mean), []
     while left > 1:
         if 10 * left < 7 * len(mean):
             keep = np.flatnonzero(gone == 0)
@@ -207,18 +280,115 @@ def agglomerate_vectors(vectors: np.ndarray, limit: float) -> np.ndarray:
     return parent
 
 
-def average_linkage_cosine(rows: DataFrame, eps: float, key: str = "id", vector: str = "embedding") -> DataFrame:
-    """(id, cluster) for unit vectors; a cluster is named by its smallest id."""
+def _blocks(rows: DataFrame, n: int, size: int, name: str) -> DataFrame:
+    """``n`` clusters (k, v) in full blocks, as far as partitions allow."""
+    least = rows.sparkSession.sparkContext.defaultParallelism
+    return blocked(rows.select(F.col("k").alias("id"), "v").coalesce(max(least, -(-n // size))), size, name)
+
+
+def _nearest_of(asked: DataFrame, others: DataFrame) -> DataFrame:
+    """(k, found): the smallest (gap, near) of each cluster in blocks ``asked`` among all in blocks ``others``."""
+    tasks = 2 * asked.sparkSession.sparkContext.defaultParallelism
+    left = asked.repartition(tasks).select(*(F.col(c).alias(f"a_{c}") for c in asked.columns))
+    right = others.select(*(F.col(c).alias(f"b_{c}") for c in others.columns))
+    # no equality of keys: that would send all blocks of a length to one task
+    pairs = left.join(right, F.abs(F.col("a_dim") - F.col("b_dim")) < 1).select("a_block", "a_data", "b_data")
+
+    def search(batches):
+        last, ids, m, near, gap = None, None, None, None, None
+
+        def best():
+            known = near >= 0
+            return pa.record_batch([pa.array(ids[known]), pa.array(gap[known]), pa.array(near[known])], names=["k", "gap", "near"])
+
+        for b in batches:
+            for x, one, other in zip(*(c.to_pylist() for c in b.columns)):
+                if last != x:
+                    if last is not None:
+                        yield best()
+                    last, (ids, m) = x, opened(one)
+                    near, gap = np.full(len(ids), -1), np.full(len(ids), np.inf)
+                names, w = opened(other)
+                own = np.full(len(ids), -1)
+                _, i, j = np.intersect1d(ids, names, assume_unique=True, return_indices=True)
+                own[i] = j
+                place, product = nearest(m, w, own)
+                d = 1.0 - product
+                closer = (place >= 0) & ((d < gap) | ((d == gap) & (names[place] < near)))
+                near[closer], gap[closer] = names[place[closer]], d[closer]
+        if last is not None:
+            yield best()
+
+    found = pairs.mapInArrow(search, "k bigint, gap double, near bigint")
+    return found.groupBy("k").agg(F.min(F.struct("gap", "near")).alias("found"))
+
+
+def _round(clusters: DataFrame, n: int, asked: int, eps: float) -> DataFrame:
+    """Clusters after those that are each other's nearest have merged; ``done``: no neighbour within eps.
+
+    ``near`` and ``gap`` are null where the nearest one has changed.
+    """
+    blocks = _blocks(clusters, n, BLOCK, "cluster-blocks")
+    found = _nearest_of(blocks if asked == n else _blocks(clusters.where("near IS NULL"), asked, BLOCK, "asked-blocks"), blocks)
+    now = clusters.select("k", "near", "gap").join(found, "k", "left").select("k", F.coalesce("near", "found.near").alias("near"), F.coalesce("gap", "found.gap").alias("gap"))
+    now = materialize(now.withColumn("done", F.coalesce(~(F.col("gap") <= eps), F.lit(True))), "nearest")
+    back = now.where("NOT done").select(F.col("k").alias("near"), F.col("near").alias("back"))
+    told = materialize(now.join(back, "near", "left").withColumn("mutual", F.coalesce(~F.col("done") & (F.col("back") == F.col("k")), F.lit(False))).drop("back"), "told")
+    changed = told.where("done OR mutual").select(F.col("k").alias("near"), F.lit(True).alias("changed"))
+    known = ~F.col("done") & ~F.col("mutual") & F.col("changed").isNull()
+    plan = told.join(changed, "near", "left").select(
+        "k", "done", F.when(F.col("mutual"), F.least("k", "near")).otherwise(F.col("k")).alias("into"), F.when(known, F.col("near")).alias("near"), F.when(known, F.col("gap")).alias("gap")
+    )
+    parts = clusters.drop("near", "gap").join(plan, "k").groupBy("into").agg(F.sort_array(F.collect_list(F.struct("k", "n", "v", "members"))).alias("p"), F.max("done").alias("done"), F.max("near").alias("near"), F.max("gap").alias("gap"))
+    one, two = F.col("p")[0], F.get("p", F.lit(1))
+    mean = F.zip_with(one["v"], two["v"], lambda x, y: (one["n"] * x + two["n"] * y) / (one["n"] + two["n"]))
+    pair = F.size("p") > 1
+    after = parts.select(
+        F.col("into").alias("k"), F.when(pair, one["n"] + two["n"]).otherwise(one["n"]).alias("n"), F.when(pair, mean).otherwise(one["v"]).alias("v"), F.when(pair, F.concat(one["members"], two["members"])).otherwise(one["members"]).alias("members"), "near", "gap", "done"
+    )
+    out = materialize(after, "clusters")
+    for gone in (blocks, now, told):
+        drop_table(gone)
+    return out
+
+
+def average_linkage_cosine(rows: DataFrame, eps: float, key: str = "id", vector: str = "embedding", alone_pairs: int = ALONE_PAIRS) -> DataFrame:
+    """(id, cluster) for unit vectors; a cluster is named by its smallest id.
+
+    Rounds over all executors merge the clusters that are each other's nearest,
+    until no more than ``alone_pairs`` products are left to a round, or it finds
+    little; the clusters left are merged in one task for each number of components.
+    Equal unit vectors are one from the start.  Vectors that hold null or non-finite
+    components stay alone.
+    """
     points = materialize(rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")), "points")
-    labels = components(cosine_edges(points, eps, "id", "v").select("u", "v"))
+    fit = F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    square = C.dot(F.col("v"), F.col("v"))
+    copies = (F.abs(square - 1) < 1e-6) & (1 - square <= eps)
+    distinct = points.where(fit).withColumn("own", F.when(~copies, F.monotonically_increasing_id())).groupBy("v", "own").agg(F.sort_array(F.collect_list("id")).alias("members"))
+    named = numbered(distinct.select(F.col("members")[0].alias("first"), "v", F.size("members").cast("bigint").alias("n"), "members"), ["first", "v"], "k")
+    clusters = materialize(named.select("k", "n", "v", "members", F.lit(None).cast("bigint").alias("near"), F.lit(None).cast("double").alias("gap")), "clusters")
+    n = asked = clusters.count()
+    finished = []
+    while n > ALONE_CLUSTERS or n * asked > alone_pairs:
+        before, after = (n, asked), _round(clusters, n, asked, eps)
+        finished.append(after.where("done").select("members"))
+        clusters = after.where("NOT done").drop("done")
+        n, asked = clusters.agg(F.count("*"), F.count_if(F.col("near").isNull())).head()
+        if LEAST_SHARE * (before[0] - n) < before[1]:
+            break
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        return pd.DataFrame({"id": pdf["id"], "cluster": pdf["id"].to_numpy()[agglomerate_vectors(np.stack(pdf["v"].to_numpy()), eps)]})
-
-    joined = points.join(labels, "id").groupBy("label").applyInPandas(cluster, "id bigint, cluster bigint")
-    alone = points.join(labels, "id", "left_anti").select("id", F.col("id").alias("cluster"))
-    return joined.union(alone)
+        pdf = pdf.sort_values("k", ignore_index=True)
+        k, known = pdf["k"].to_numpy(), pdf["near"].notna().to_numpy()
+        near = np.full(len(k), -1)
+        near[known] = np.searchsorted(k, pdf["near"].to_numpy()[known].astype(np.int64))
+        return pd.DataFrame({"k": k, "into": k[agglomerate_vectors(np.stack(pdf["v"].to_numpy()), eps, pdf["n"].to_numpy(), near, pdf["gap"].to_numpy())]})
+
+    into = materialize(clusters.select("k", "n", "v", "near", "gap", F.size("v").alias("dim")).groupBy("dim").applyInPandas(cluster, "k bigint, into bigint"), "merged")
+    merged = clusters.select("k", "members").join(into, "k").groupBy("into").agg(F.flatten(F.collect_list("members")).alias("members")).select("members")
+    whole = reduce(DataFrame.union, finished, merged).select(F.explode("members").alias("id"), F.array_min("members").alias("cluster"))
+    return materialize(whole.union(points.where(~fit).select("id", F.col("id").alias("cluster"))), "linked")
 
 
 def merge_centroids(sums: np.ndarray, sizes: np.ndarray, similarity: float = MERGE_SIMILARITY, veto: float = VETO_LINKAGE) -> np.ndarray:

@@ -54,6 +54,54 @@ def test_linkage_of_vectors_needs_no_matrix(seed):
     assert clustering.agglomerate_vectors(v[:0], 0.4).tolist() == []
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_nearest_equals_the_largest_product(seed):
+    v = unit(700, 5, seed)
+    v = np.concatenate([v, v[:40], v[:40] + 1e-9, np.repeat(v[:1] * 1e20, 60, 0)])  # more that single precision cannot tell apart than it hands on
+    own = np.arange(len(v))
+    s = v @ v.T
+    np.fill_diagonal(s, -np.inf)
+    place, best = clustering.nearest(v, v, own)
+    assert (place != own).all() and np.allclose(best, s.max(1), rtol=1e-12) and np.allclose(s[own, place], s.max(1), rtol=1e-12)
+    assert clustering.nearest(v[:1], v[:1], own[:1])[0].tolist() == [-1]
+    assert clustering.nearest(v[:2], v[:0], own[:2] - 5)[0].tolist() == [-1, -1]
+
+
+def test_nearest_in_several_blocks(monkeypatch):
+    v = unit(300, 6, 3)
+    want = clustering.nearest(v, v, np.arange(300))
+    monkeypatch.setattr(clustering, "BLOCK", 64)
+    got = clustering.nearest(v, v, np.arange(300))
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_known_neighbours_and_sizes_go_on_where_a_round_ended():
+    v = unit(50, 4, 8)
+    pairs = np.stack([v[0::2], v[1::2]], 1)
+    mean, size = pairs.mean(1), np.full(25, 2.0)
+    d = 1 - mean @ mean.T
+    near = np.where(np.eye(25, dtype=bool), np.inf, d).argmin(1)
+    near[::3] = -1
+    plain = clustering.agglomerate_vectors(mean, 0.6, size).tolist()
+    assert clustering.agglomerate_vectors(mean, 0.6, size, near, d[np.arange(25), near]).tolist() == plain
+    assert clustering.agglomerate_vectors(np.repeat(mean, 2, 0), 0.6).tolist()[::2] == [2 * c for c in plain]
+
+
+def test_rounds_over_executors_equal_one_task(spark):
+    v = unit(400, 6, 21)
+    v = np.concatenate([v, v[:50], v[:50]])  # copies
+    ids = np.random.default_rng(2).permutation(len(v)) * 3
+    odd = [(5000, [1.0, 0.0]), (5001, [0.99, math.sqrt(1 - 0.99**2)]), (5002, [float("nan")] * 6), (5003, [float("inf")] + [0.0] * 5), (5004, [None] * 6), (None, v[0].tolist()), (5005, [0.0] * 6)]
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)] + odd, "id bigint, embedding array<double>").repartition(5)
+    order = np.argsort(ids)
+    owner = clustering.agglomerate(1 - v[order] @ v[order].T, 0.35)
+    want = {int(ids[i]): int(ids[order[c]]) for i, c in zip(order, owner)} | {k: k for k in (5000, 5002, 5003, 5004, None, 5005)} | {5001: 5000}
+    assert 5 < len(set(owner.tolist())) < 200
+    for alone_pairs in (0, 1 << 30):
+        got = clustering.average_linkage_cosine(df, 0.35, alone_pairs=alone_pairs).collect()
+        assert len(got) == len(want) and {r.id: r.cluster for r in got} == want
+
+
 def slow_merge(sums, sizes, similarity, veto):
     groups = [([i], s, n) for i, (s, n) in enumerate(zip(sums, sizes))]
     while True:
