@@ -394,59 +394,69 @@ def average_linkage_cosine(rows: DataFrame, eps: float, key: str = "id", vector:
 def merge_centroids(sums: np.ndarray, sizes: np.ndarray, similarity: float = MERGE_SIMILARITY, veto: float = VETO_LINKAGE) -> np.ndarray:
     """Cluster numbers after merging the most similar centroids again and again.
 
-    Sums and sizes say all that centroids and linkages need.  A vetoed pair stays
-    out until one of its sides changes.  Every cluster holds its best partner among
-    the later ones only, and looks again where that one has changed.
+    Sums and sizes say all that centroids and linkages need: one product of two sums
+    gives both.  A vetoed pair stays out until one of its sides changes.  Every
+    cluster holds its best partner among the later ones only, and looks again where
+    that one has changed.  A merged cluster looks once, for itself and for the
+    earlier ones; clusters that are gone leave the tables from time to time.
     """
     sums, sizes = sums.astype(np.float64).copy(), sizes.astype(np.float64).copy()
-    n = len(sums)
-    owner, alive = np.arange(n), np.ones(n, bool)
-
-    def unit(x):
-        length = np.linalg.norm(x, axis=-1, keepdims=True)
-        return np.where(length > 1e-12, x / np.maximum(length, 1e-300), x)
-
-    def allowed(rows):
-        """Similarities of rows to all clusters; those vetoed or gone are out."""
-        sim = centre[rows] @ centre.T
-        sim[1.0 - sums[rows] @ sums.T / (sizes[rows, None] * sizes) > veto] = -np.inf
-        sim[:, ~alive] = -np.inf
+    n = left = len(sums)
+    name, parent, alive = np.arange(n), np.arange(n), np.ones(n, bool)
+
+    def lengths(x):
+        length = np.linalg.norm(x, axis=-1)
+        return np.where(length > 1e-12, length, 1.0)
+
+    length = lengths(sums)
+
+    def allowed(at):
+        """Similarities of rows ``at`` to all clusters; those vetoed or gone are out."""
+        product = sums[at] @ sums.T
+        sim = product / (length[at][..., None] * length)
+        sim[(1.0 - product / (sizes[at][..., None] * sizes) > veto) | ~alive] = -np.inf
         return sim
 
-    centre = unit(sums)
     best, partner, stale = np.full(n, -np.inf), np.zeros(n, int), np.zeros(n, bool)
 
-    def look(rows):
+    def look(i, sim):
+        stale[i], best[i] = False, -np.inf
+        if i + 1 < len(sim):
+            partner[i] = i + 1 + sim[i + 1 :].argmax()
+            best[i] = sim[partner[i]]
+
+    step = max(1, BLOCK_NUMBERS // max(1, n))
+    for at in range(0, n, step):
+        rows = np.arange(at, min(n, at + step))
         sim = allowed(rows)
         sim[np.arange(n) <= rows[:, None]] = -np.inf
         partner[rows] = sim.argmax(1)
         best[rows] = sim[np.arange(len(rows)), partner[rows]]
-        stale[rows] = False
-
-    step = max(1, BLOCK_NUMBERS // max(1, n))
-    for at in range(0, n, step):
-        look(np.arange(at, min(n, at + step)))
     while n:
+        if 10 * left < 7 * len(sums):
+            to = np.append(np.where(alive, np.cumsum(alive) - 1, -1), -1)
+            sums, sizes, length, name, best, partner, stale = (x[alive] for x in (sums, sizes, length, name, best, to[partner], stale))
+            alive = np.ones(left, bool)
         i = int(best.argmax())
         if best[i] < similarity:
             break
         if stale[i]:  # its value is an upper bound
-            look(np.array([i]))
+            look(i, allowed(i))
             continue
         j = int(partner[i])
         sums[i] += sums[j]
         sizes[i] += sizes[j]
-        owner[owner == j] = i
-        alive[j] = False
-        best[j] = -np.inf
-        centre[i] = unit(sums[i])
+        length[i] = lengths(sums[i])
+        parent[name[j]] = name[i]
+        alive[j], best[j], left = False, -np.inf, left - 1
         stale |= alive & ((partner == i) | (partner == j))
-        now = allowed(np.array([i]))[0]
-        now[i:] = -np.inf
-        closer = np.flatnonzero((now > best) | ((now == best) & (i < partner) & (now > -np.inf)))
+        now = allowed(i)
+        closer = np.flatnonzero((now[:i] > best[:i]) | ((now[:i] == best[:i]) & (i < partner[:i]) & (now[:i] > -np.inf)))
         best[closer], partner[closer], stale[closer] = now[closer], i, False
-        look(np.array([i]))
-    return owner
+        look(i, now)
+    for k in range(n):  # a parent is smaller than its children
+        parent[k] = parent[parent[k]]
+    return parent
 
 
 def merge_by_centroid(clusters: DataFrame, points: DataFrame, min_samples: int, similarity: float = MERGE_SIMILARITY, veto: float = VETO_LINKAGE) -> DataFrame:

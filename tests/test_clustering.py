@@ -121,6 +121,21 @@ def test_centroid_merge_equals_rescanning(seed):
         assert dict(enumerate(clustering.merge_centroids(sums, sizes, similarity, veto).tolist())) == slow_merge(sums, sizes, similarity, veto)
 
 
+@pytest.mark.parametrize("similarity, veto", [(0.2, 0.95), (0.0, 1.2), (-1.0, 3.0)])
+def test_centroid_merge_after_many_clusters_are_gone(similarity, veto):
+    sizes = np.random.default_rng(5).integers(2, 9, 80)
+    sums = unit(80, 6, 5) * sizes[:, None] * 0.7
+    want = slow_merge(sums, sizes, similarity, veto)
+    assert len(set(want.values())) < 40
+    assert dict(enumerate(clustering.merge_centroids(sums, sizes, similarity, veto).tolist())) == want
+
+
+def test_linkage_is_worked_out_once_for_the_centroid_merge(spark):
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(unit(40, 3, 2))], "id bigint, embedding array<double>")
+    linked = clustering.average_linkage_cosine(df, 0.3)
+    assert spark.read.parquet(linked.written_to).count() == 40  # several plans read a table, not the linkage
+
+
 def test_more_than_20000_members_and_clusters(spark):
     n = 20_100  # a chain round half a circle, so that only neighbours are near
     angle = (np.arange(n) + np.random.default_rng(1).uniform(0, 0.5, n)) * (math.pi / n)
